@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, slots, suffix
+from . import bpe, mixing, near, quality, slots, suffix
 from .common import table
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.groups(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(F.col("__id").alias("doc_id"), F.col("__bytes").alias("n_bytes"), F.col("__removed").alias("n_removed"), F.col("__spans").alias("n_spans"), F.col("__sha").alias("kept_sha256"))
@@ -31,7 +35,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_arrays, op4_virtual_slots, op5_bpe, op8_fair_queueing, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_suffix_arrays, op4_virtual_slots, op5_bpe, op8_fair_queueing, op9_quality)}
 
 ORACLES = {
     "op8_fair_queueing": r"""
