@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, near, quality, slots, suffix
+from . import bpe, lm, mixing, near, quality, slots, suffix
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_suffix_arrays, op4_virtual_slots, op5_bpe, op8_fair_queueing, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_suffix_arrays, op4_virtual_slots, op5_bpe, op6_context_mixing, op8_fair_queueing, op9_quality)}
 
 ORACLES = {
     "op8_fair_queueing": r"""

@@ -145,14 +145,14 @@ def _runs(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ..
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _ordered(docs: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+def ordered(docs: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
     """A chunk in the same order each time it is read; its ids, bytes and row offsets."""
     docs = docs.take(pc.sort_indices(docs, [("__d", "ascending"), ("__k", "ascending")]))
     buf, off = text_buffer(docs.column("__t"))
     return docs, docs.column("__d").to_numpy(), buf, off
 
 
-def _by_bucket(u: np.ndarray, n: int):
+def by_bucket(u: np.ndarray, n: int):
     """Numbers of the entries of u in each bucket that has any."""
     bucket = (u % np.uint64(n)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -161,13 +161,22 @@ def _by_bucket(u: np.ndarray, n: int):
         yield int(bucket[order[a]]), order[a:b]
 
 
-def _bytes(x) -> bytes:
+def to_bytes(x) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def chunked(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> tuple[DataFrame, int]:
+    """Rows with the number of their chunk, __c, of about CHUNK bytes of text; and the number of chunks."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    n = max(8, -(-total // CHUNK))
+    id_ = F.col(id_col)
+    own = docs.select(*carry, id_.alias("__id"), F.coalesce(id_.cast("long"), F.lit(int(LAST))).alias("__d"), F.col(text_col).alias("__t"), F.xxhash64(text_col).alias("__k"))
+    return own.withColumn("__c", F.pmod(F.xxhash64("__d", "__k"), F.lit(n))), n
+
+
 def _index(n: int, length: int):
     def run(docs: pa.Table) -> pa.Table:
-        docs, ids, buf, off = _ordered(docs)
+        docs, ids, buf, off = ordered(docs)
         _, _, value, text, row = _runs(buf, off, length)
         out: dict[str, list] = {"bucket": [], "chunk": [], "hashes": [], "info": []}
         if len(value):
@@ -179,11 +188,11 @@ def _index(n: int, length: int):
             texts = np.add.reduceat(new | np.r_[True, t[1:] != t[:-1]], heads)
             info = np.minimum(texts, 127).astype(np.uint8) | (several.astype(np.uint8) << 7)
             u, chunk = v[heads], docs.column("__c")[0].as_py()
-            for b, at in _by_bucket(u, n):
+            for b, at in by_bucket(u, n):
                 out["bucket"].append(b)
                 out["chunk"].append(chunk)
-                out["hashes"].append(_bytes(u[at].view(np.uint8).reshape(-1, 8)[:, :6]))
-                out["info"].append(_bytes(info[at]))
+                out["hashes"].append(to_bytes(u[at].view(np.uint8).reshape(-1, 8)[:, :6]))
+                out["info"].append(to_bytes(info[at]))
         return pa.table(out, schema=pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("info", pa.binary())]))
 
     return run
@@ -200,7 +209,7 @@ def _shared(hot: int):
         state = ((chunks > 1) | (several > 0)).astype(np.uint8)
         state[(state > 0) & (texts > hot)] = 2
         ends = np.cumsum([len(b) for b in blobs])
-        masks = [_bytes(x) for x in np.split(state[inv], ends[:-1])]
+        masks = [to_bytes(x) for x in np.split(state[inv], ends[:-1])]
         return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "mask": pa.array(masks, pa.binary())})
 
     return run
@@ -213,13 +222,13 @@ def _cut(n: int, shards: int, length: int):
     def run(docs: pa.Table, masks: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in _CUT.names}
         if docs.num_rows and masks.num_rows:
-            docs, ids, buf, off = _ordered(docs)
+            docs, ids, buf, off = ordered(docs)
             chunk = docs.column("__c")[0].as_py()
             lo, count, value, text, row = _runs(buf, off, length)
             u, inv = np.unique(value, return_inverse=True)
             state = np.zeros(len(u), np.uint8)
             mask = dict(zip(masks.column("bucket").to_pylist(), masks.column("mask").to_pylist(), strict=True))
-            for b, at in _by_bucket(u, n):
+            for b, at in by_bucket(u, n):
                 if b in mask:
                     state[at] = np.frombuffer(mask[b], np.uint8)
             s = state[inv]
@@ -242,17 +251,17 @@ def _cut(n: int, shards: int, length: int):
                 heads = np.flatnonzero(new)
                 ends = np.r_[heads[1:], len(lo)]
                 later = d > d[np.repeat(heads, ends - heads)]
-                for b, at in _by_bucket(deal[heads], shards):
-                    mine, first = _ranges(heads[at], ends[at] - heads[at]), heads[at]
-                    raw = buf[_ranges(lo[first], count[first] + length - 1)]
-                    for k, v in zip(_CUT.names, (b, chunk, _bytes(d[first]), _bytes(count[first].astype(np.uint8)), _bytes(raw), _bytes((ends[at] - first).astype(np.int32)), _bytes(lo[mine].astype(np.int32)), _bytes(later[mine])), strict=True):
+                for b, at in by_bucket(deal[heads], shards):
+                    mine, first = ranges(heads[at], ends[at] - heads[at]), heads[at]
+                    raw = buf[ranges(lo[first], count[first] + length - 1)]
+                    for k, v in zip(_CUT.names, (b, chunk, to_bytes(d[first]), to_bytes(count[first].astype(np.uint8)), to_bytes(raw), to_bytes((ends[at] - first).astype(np.int32)), to_bytes(lo[mine].astype(np.int32)), to_bytes(later[mine])), strict=True):
                         out[k].append(v)
         return pa.table(out, schema=_CUT)
 
     return run
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0] .. start[0]+size[0]-1, start[1] .. and so on."""
     ends = np.cumsum(size)
     return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
@@ -266,7 +275,7 @@ def _least(raw: np.ndarray, off: np.ndarray, windows: np.ndarray, doc: np.ndarra
     while a < len(windows):
         b = max(a + 1, int(np.searchsorted(off, off[a] + block, "right")) - 1)
         t = raw[off[a] : off[b]]
-        at = _ranges(off[a:b] - off[a], windows[a:b])
+        at = ranges(off[a:b] - off[a], windows[a:b])
         number = np.full(len(t), -1, np.int64)
         number[at] = np.arange(wins[a], wins[b])
         owner = np.repeat(doc[a:b], windows[a:b])
@@ -335,9 +344,9 @@ def _sort(length: int, block: int):
             which = np.repeat(np.arange(len(d)), m)
             whole, part = late, np.flatnonzero(~late)
             k = span_off[which[part] + 1] - span_off[which[part]]
-            at = _ranges(span_off[which[part]], k)
-            starts.append(_bytes(np.r_[p[whole], np.repeat(p[part], k) + a[at]].astype(np.int32)))
-            sizes.append(_bytes(np.r_[n[which[whole]] + length - 1, z[at] - a[at] + length].astype(np.int32)))
+            at = ranges(span_off[which[part]], k)
+            starts.append(to_bytes(np.r_[p[whole], np.repeat(p[part], k) + a[at]].astype(np.int32)))
+            sizes.append(to_bytes(np.r_[n[which[whole]] + length - 1, z[at] - a[at] + length].astype(np.int32)))
             chunks.append(c)
         return pa.table({"chunk": pa.array(chunks, pa.int64()), "starts": pa.array(starts, pa.binary()), "sizes": pa.array(sizes, pa.binary())})
 
@@ -346,7 +355,7 @@ def _sort(length: int, block: int):
 
 def _drop(carry: list[str], with_text: bool):
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
-        docs, _, buf, off = _ordered(docs)
+        docs, _, buf, off = ordered(docs)
         step = np.zeros(len(buf) + 1, np.int32)
         for s, n in zip(spans.column("starts").to_pylist(), spans.column("sizes").to_pylist(), strict=True):
             s, n = np.frombuffer(s, np.int32), np.frombuffer(n, np.int32)
@@ -373,14 +382,9 @@ def _drop(carry: list[str], with_text: bool):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False, carry: tuple[str, ...] = (), hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """__id, __bytes, __removed, __spans, __sha (of the remaining bytes) of each row; on request __kept, the remaining text without
     characters cut in two, and other columns."""
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    n = max(8, -(-total // CHUNK))
-    shards = 2 * n
-    id_ = F.col(id_col)
     carry = [c for c in carry if c not in (id_col, text_col)]
-    own = docs.select(
-        *[F.col(c) for c in carry], id_.alias("__id"), F.coalesce(id_.cast("long"), F.lit(int(LAST))).alias("__d"), F.col(text_col).alias("__t"), F.xxhash64(text_col).alias("__k")
-    ).withColumn("__c", F.pmod(F.xxhash64("__d", "__k"), F.lit(n)))
+    own, n = chunked(docs, id_col, text_col, carry)
+    shards = 2 * n
     by_chunk = own.groupBy("__c")
     index = by_chunk.applyInArrow(_index(n, length), "bucket long, chunk long, hashes binary, info binary")
     masks = index.groupBy("bucket").applyInArrow(_shared(hot), "chunk long, bucket long, mask binary")
