@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm, mixing, near, quality, slots, suffix
+from . import ann, bpe, chat, lm, mixing, near, quality, sketches, slots, suffix
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("__id").alias("doc_id"), F.col("__bytes").alias("n_bytes"), F.col("__removed").alias("n_removed"), F.col("__spans").alias("n_spans"), F.col("__sha").alias("kept_sha256"))
 
 
+def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = slots.shard(table(spark, sf_dir, "documents"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
@@ -31,6 +35,10 @@ def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op7_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -39,9 +47,29 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_suffix_arrays, op4_virtual_slots, op5_bpe, op6_context_mixing, op8_fair_queueing, op9_quality)}
+def op10_bloom_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_order_minhash, op2_suffix_arrays, op3_snapshot_collapse, op4_virtual_slots, op5_bpe,
+        op6_context_mixing, op7_stable_projections, op8_fair_queueing, op9_quality, op10_bloom_sketches,
+    )
+}
 
 ORACLES = {
+    "op3_snapshot_collapse": r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+s AS (SELECT conv_id, turn, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line, text FROM t),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM s),
+p AS (SELECT conv_id, pos, n_turns, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY pos) AS sofar FROM n),
+w AS (SELECT sofar, min(conv_id) AS conv_id, max(n_turns) AS n_turns, count(*) AS copies FROM p WHERE pos = n_turns GROUP BY sofar),
+cut AS (SELECT DISTINCT sofar, pos FROM p WHERE pos < n_turns)
+SELECT conv_id, n_turns::bigint AS n_turns, copies::bigint AS copies, 0::int AS part, sofar AS text
+FROM w ANTI JOIN cut ON w.sofar = cut.sofar AND w.n_turns = cut.pos
+""",
     "op8_fair_queueing": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size,
