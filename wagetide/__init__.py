@@ -1,0 +1 @@
+"""Recurring-income detection over bank credits, for many analyses in one Spark job."""

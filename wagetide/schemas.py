@@ -1,0 +1,29 @@
+"""Input types."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+TEXT_FIELDS = ("id", "date", "description", "amount", "direction", "balance", "reference", "counterparty_name", "transaction_code", "currency", "account_id", "raw_category", "source_bank", "booking_date", "value_date")
+AMOUNT = "decimal(28,8)"
+
+
+def _struct(text: tuple[str, ...] = (), **others: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(f, T.StringType()) for f in text] + [T.StructField(k, v) for k, v in others.items()])
+
+
+#: Amounts stay text until they are parsed, so decimals are exact.
+TRANSACTION = _struct(TEXT_FIELDS)
+ANALYSIS = _struct(
+    ("analysis_id", "scenario_description"),
+    scenario_tags=T.ArrayType(T.StringType()),
+    jurisdiction=T.StringType(),
+    country_region=T.StringType(),
+    source_bank=T.StringType(),
+    validation_mode=T.StringType(),
+    transactions=T.ArrayType(TRANSACTION),
+    payslip_hints=T.ArrayType(_struct(("month", "amount", "hint_id"))),
+    salary_hints=_struct(("approx_monthly", "approx_yearly"), tolerance_pct=T.DoubleType()),
+    options=_struct(enable_llm=T.BooleanType(), include_audit=T.BooleanType(), llm_provider=T.StringType(), llm_model=T.StringType()),
+    transactions_range=_struct(("start", "end")),
+)
