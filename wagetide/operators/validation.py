@@ -40,8 +40,8 @@ def described(c: Column) -> Column:
     return F.when(c.isNull() | (t == ""), F.lit(EMPTY)).otherwise(t)
 
 
-def checked(rows: DataFrame) -> DataFrame:
-    """Rows with their parsed values and status: the first rule that a row breaks, duplicate_id, non_credit_row_skipped, or null."""
+def row_checked(rows: DataFrame) -> DataFrame:
+    """Rows with their parsed values and fault: the first rule that a row breaks, or null."""
     quoted = lambda c: F.concat(F.lit("'"), F.coalesce(c, F.lit("None")), F.lit("'"))
     amount = parsed_amount(F.col("amount"))
     way = direction(F.col("direction"), amount)
@@ -54,7 +54,12 @@ def checked(rows: DataFrame) -> DataFrame:
         F.when(day.isNull(), F.concat(F.lit("date "), quoted(F.col("date")), F.lit(" is not ISO YYYY-MM-DD"))),
         F.when(F.col("balance").isNotNull() & parsed_amount(F.col("balance")).isNull(), F.concat(F.lit("amount "), quoted(F.col("balance")), F.lit(" is not numeric"))),
     )
-    out = rows.withColumn("fault", fault).withColumns({"value": F.abs(amount), "way": way, "day": day, "text": described(F.col("description"))})
+    return rows.withColumn("fault", fault).withColumns({"value": F.abs(amount), "way": way, "day": day, "text": described(F.col("description"))})
+
+
+def checked(rows: DataFrame) -> DataFrame:
+    """row_checked with status: row_invalid, duplicate_id, non_credit_row_skipped, or null."""
+    out = row_checked(rows)
     nth = F.row_number().over(Window.partitionBy("analysis_id", "id", F.col("fault").isNull()).orderBy("pos"))
     out = out.withColumn("nth", nth)
     status = F.when(F.col("fault").isNotNull(), "row_invalid").when(F.col("nth") > 1, "duplicate_id").when(F.col("way") != "credit", "non_credit_row_skipped")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
+from decimal import Decimal
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What an order's priority says in its description.
@@ -43,7 +44,9 @@ def payroll_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 == 0, F.last_day(first)).when(k % 4 == 1, F.date_add(first, 24)).when(k % 4 == 2, F.date_add(F.lit("2024-01-05").cast("date"), F.col("m") * 28))
         .otherwise(F.date_add(first, ((k * 7 + F.col("m") * 11) % 27).cast("int")))
     )
-    amount = (1500 + F.abs("c_acctbal") / 4).cast("decimal(18,2)") + F.when((k % 5 == 0) & (F.col("m") >= 6), 300).otherwise(0).cast("decimal(18,2)")
+    # in pence, so that no rounding of decimals decides
+    pence = 150_000 + F.floor(F.abs("c_acctbal") * 25) + F.when((k % 5 == 0) & (F.col("m") >= 6), 30_000).otherwise(0)
+    amount = pence.cast("decimal(16,2)") * F.lit(Decimal("0.01"))
     word = F.when(k % 3 == 0, "PAYROLL").when(k % 3 == 1, "BACS SALARY").otherwise("WAGES")
     rows = m.filter(~((k % 7 == 0) & F.col("m").isin(2, 7)))
     return rows.select(
