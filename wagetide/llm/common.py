@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +117,10 @@ class Rolling:
         np.cumsum(_SALT[buf] * powers(_BASE, n), out=self.sums[1:])
         self.back = powers(_INVERSE, n + 1)
 
+    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Values whose high bits are mixed well enough for a table."""
+        return (self.sums[end] - self.sums[start]) * self.back[start] * MULT
+
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start])
 
@@ -155,3 +160,15 @@ def csr(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     off = np.zeros(len(rows) + 1, np.int64)
     np.cumsum([len(x) for x in rows], out=off[1:])
     return np.frombuffer(b"".join(rows), np.uint8), off
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as bytes, all first bytes together, then all second bytes, and so on, compressed: sorted or small numbers shrink well."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() if len(x) else b"", 1)
+
+
+def unpacked(blobs: list[bytes], kind) -> np.ndarray:
+    """The numbers of all blobs, one after the other."""
+    size = np.dtype(kind).itemsize
+    parts = [np.frombuffer(zstandard.decompress(b), np.uint8).reshape(size, -1).T for b in blobs]
+    return np.ascontiguousarray(np.concatenate(parts)).view(kind).ravel() if parts else np.zeros(0, kind)
