@@ -93,7 +93,7 @@ def _tree(g: np.ndarray, h: np.ndarray, splits: int = 3, least: float = 5.0) ->
 
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
     share = y.mean() if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Model(float(np.log((share * len(y) + 1) / ((1 - share) * len(y) + 1))) if len(y) else 0.0)
     m = Model(float(np.log(share / (1 - share))))
     cuts = lambda v, n: np.unique(np.quantile(v, np.arange(1, n) / n))
