@@ -79,8 +79,9 @@ def band(amount: Column) -> Column:
     return out
 
 
-def extract(rows: DataFrame, config: Config, region: Column | None = None) -> DataFrame:
-    """All features of normalised credits. region: the analysis's calendar, on rows (column region) by default."""
+def extract(rows: DataFrame, config: Config, region: Column | None = None, overrides: dict | None = None) -> DataFrame:
+    """All features of normalised credits. region: the analysis's calendar, on rows (column region) by default; overrides: dates
+    that the calendar gains and loses."""
     n, t = F.col("normalised"), F.col("tokens")
     rows = rows.withColumns({"channel_match": channel(n, config), "salary_hints": hints(n, t, config), "_neg": _found(n, config.negative_phrases())})
     rows = rows.withColumns({
@@ -96,7 +97,7 @@ def extract(rows: DataFrame, config: Config, region: Column | None = None) -> Da
         "weekday": F.weekday("date"),
         "is_month_end": F.last_day("date") == F.col("date"),
     }).drop("_neg")
-    days, months = workdays.calendar(rows.sparkSession)
+    days, months = workdays.calendar(rows.sparkSession, overrides)
     rows = rows.withColumn("_region", workdays.region(region if region is not None else F.col("region")))
     days = days.select(F.col("region").alias("_region"), F.col("d").alias("date"), F.col("adjacent").alias("_adjacent"))
     months = months.select(F.col("region").alias("_region"), "month", "last_working", "first_working")
