@@ -122,7 +122,7 @@ def random_analysis(seed):
 @pytest.mark.parametrize("seed", range(25))
 def test_pool_folds(seed):
     t, links = random_analysis(seed)
-    a = Analysis(t, {"dedup_txn_id_overlap_pct": 0.9}, 0.10)
+    a = Analysis(t.to_dict("list"), {"dedup_txn_id_overlap_pct": 0.9}, 0.10)
     parts = a.components(links)
     assert sorted(i for p in parts for i in p) == list(range(len(t)))
     where = {i: k for k, p in enumerate(parts) for i in p}

@@ -82,18 +82,23 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, row by row of the usual table."""
+    """Length of the longest common subsequence of two arrays. Only elements that both have can count; mostly what is left is equal, and
+    the usual table, row by row, is for the rest."""
 
-    def row(prev, x):
-        def cell(s, i):
-            here = F.when(x == F.get(b, i), s["diag"] + 1).otherwise(F.greatest(s["left"], F.get(prev, i)))
-            return F.struct(F.concat(s["row"], F.array(here)).alias("row"), here.alias("left"), F.get(prev, i).alias("diag"))
+    def table(a, b):
+        def row(prev, x):
+            def cell(s, i):
+                here = F.when(x == F.get(b, i), s["diag"] + 1).otherwise(F.greatest(s["left"], F.get(prev, i)))
+                return F.struct(F.concat(s["row"], F.array(here)).alias("row"), here.alias("left"), F.get(prev, i).alias("diag"))
 
-        start = F.struct(F.array().cast("array<int>").alias("row"), F.lit(0).alias("left"), F.lit(0).alias("diag"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, cell)["row"]
+            start = F.struct(F.array().cast("array<int>").alias("row"), F.lit(0).alias("left"), F.lit(0).alias("diag"))
+            return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, cell)["row"]
 
-    none = (F.size(a) == 0) | (F.size(b) == 0)
-    return F.when(none, 0).otherwise(F.array_max(F.aggregate(a, F.array_repeat(F.lit(0), F.size(b)), row)))
+        return F.array_max(F.aggregate(a, F.array_repeat(F.lit(0), F.size(b)), row))
+
+    both = F.struct(F.filter(a, lambda t: F.array_contains(b, t)).alias("a"), F.filter(b, lambda t: F.array_contains(a, t)).alias("b"))
+    found = F.transform(F.array(both), lambda s: F.when(s["a"] == s["b"], F.size(s["a"])).otherwise(table(s["a"], s["b"])))
+    return F.get(found, F.lit(0))
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:

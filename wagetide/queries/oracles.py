@@ -182,7 +182,7 @@ SELECT token, count(*)::bigint AS n FROM t WHERE token <> '' GROUP BY ALL""",
     "h_unmatched": f"WITH {ORDERS}, {_SLIPS} SELECT analysis_id, 'payslip hint ''' || hint_id || ''' did not match any credit' AS detail FROM slip WHERE hint_id NOT IN (SELECT hint_id FROM hit) AND analysis_id IN (SELECT analysis_id FROM hit)",
     "h_band_modifier": """WITH b AS (SELECT c_custkey, abs(c_acctbal) AS m, CASE WHEN c_custkey % 2 = 0 THEN 4000.0::double WHEN c_custkey % 3 = 0 THEN 60000.0::double / 12 END AS e, CASE WHEN c_custkey % 5 = 0 THEN 0.1::double ELSE 0.2::double END AS t FROM customer),
 x AS (SELECT *, e * (1 - t) AS lo, e * (1 + t) AS hi FROM b)
-SELECT c_custkey, round(lo, 4) AS lower, round(hi, 4) AS upper, round(CASE WHEN e IS NULL OR m BETWEEN lo AND hi THEN 1.0::double ELSE greatest(0.5::double, 1 - 0.5::double * greatest(lo - m, m - hi) / e) END, 6) AS modifier FROM x""",
+SELECT c_custkey, round(lo, 4) AS lower, round(hi, 4) AS upper, round(CASE WHEN e IS NULL OR m BETWEEN lo AND hi THEN 1.0::double ELSE greatest(0.5::double, 1 - 0.5::double * greatest(lo - m, m - hi) / e) END, 9) AS modifier FROM x""",
     "g_plausibility": f"WITH {PAYROLL}, {_features('prow')}, {_GROUPS} SELECT analysis_id, skeleton, idx, n, date_part, amount_part, round(negative_share, 6) AS negative_share, final, n >= 2 AND final >= 0.45 AS emitted FROM g",
     "g_ranked_orders": f"WITH {ORDERS}, {_features('orow')}, {_GROUPS} SELECT analysis_id, skeleton, n, final, row_number() OVER (PARTITION BY analysis_id ORDER BY final DESC, skeleton)::int AS rank FROM g WHERE n >= 2 AND final >= 0.45",
     "e_pairs": f"WITH {ORDERS}, {_features('orow')}, {_PAIRS} SELECT analysis_id, id_a, id_b, date, amount, channel, counterparty, conflict FROM e",

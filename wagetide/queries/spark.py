@@ -192,7 +192,7 @@ def h_band_modifier(spark, sf_dir):
     c = tables.read(spark, sf_dir, "customer").select("c_custkey", F.abs("c_acctbal").alias("m"))
     b = hints.expected(F.when(F.col("c_custkey") % 2 == 0, F.lit(4000.0)), F.when(F.col("c_custkey") % 3 == 0, F.lit(60000.0)), F.when(F.col("c_custkey") % 5 == 0, F.lit(0.1)))
     c = c.withColumn("b", b)
-    return c.select("c_custkey", F.round(F.col("b.lower"), 4).alias("lower"), F.round(F.col("b.upper"), 4).alias("upper"), F.round(hints.modifier(F.col("m"), F.col("b")), 6).alias("modifier"))
+    return c.select("c_custkey", F.round(F.col("b.lower"), 4).alias("lower"), F.round(F.col("b.upper"), 4).alias("upper"), F.round(hints.modifier(F.col("m"), F.col("b")), 9).alias("modifier"))
 
 
 # groups and graph -------------------------------------------------------------------------------------------------------
