@@ -162,7 +162,14 @@ m AS (
     WHEN split IS NOT NULL THEN 'stable_with_step_change' WHEN cv <= 0.10 THEN 'stable_with_minor_variation' WHEN cv <= 0.30 THEN 'variable_but_recurring' ELSE 'too_variable' END AS model, cv, split, delta
   FROM st JOIN oo USING (analysis_id) LEFT JOIN bs USING (analysis_id))"""
 
+_SPANS = """sp AS (SELECT o_custkey::varchar AS analysis_id, o_orderpriority AS cid, min(o_orderdate::date) AS first, max(o_orderdate::date) AS last, count(*) AS n, (sum(o_orderkey) % 100)::double / 100 AS confidence FROM orders GROUP BY ALL)"""
+
 ORACLES = {
+    "l_transitions": f"""WITH {_SPANS} SELECT a.analysis_id, a.cid AS cid_a, b.cid AS cid_b, (b.first - a.last)::int AS gap_days, strftime(a.last, '%Y-%m') || '|' || strftime(b.first, '%Y-%m') AS months, date_trunc('month', a.last) = date_trunc('month', b.first) AS same_month
+FROM sp a JOIN sp b ON a.analysis_id = b.analysis_id AND a.cid <> b.cid AND a.n >= 2 AND b.n >= 2 AND b.first >= a.first AND b.first - a.last BETWEEN 0 AND 62""",
+    "z_ranked": f"""WITH {_SPANS}, r AS (SELECT *, row_number() OVER (PARTITION BY analysis_id, confidence >= 0.40 ORDER BY confidence DESC, cid)::int AS rank, count(CASE WHEN confidence >= 0.40 THEN 1 END) OVER (PARTITION BY analysis_id) AS above FROM sp)
+SELECT analysis_id, cid, confidence, rank, CASE WHEN confidence >= 0.40 AND rank <= 2 THEN 'returned' WHEN confidence >= 0.40 AND rank <= 4 THEN 'cap_overflow' WHEN confidence < 0.40 AND rank <= greatest(0, 2 - greatest(0, above - 2)) THEN 'below_threshold' ELSE 'none' END AS placed,
+CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.70 THEN 'medium_high' WHEN confidence >= 0.55 THEN 'medium' WHEN confidence >= 0.40 THEN 'low' ELSE 'very_low' END AS band FROM r""",
     "v_row_status": f"WITH {_DIRTY} SELECT analysis_id, pos, status, abs(amount)::double AS value, way, date AS day FROM st",
     "v_warning_counts": f"WITH {_DIRTY} SELECT status AS code, count(*)::bigint AS n, count(DISTINCT analysis_id)::bigint AS analyses FROM st WHERE status <> 'accepted' GROUP BY ALL",
     "v_descriptions": f"WITH {_DIRTY} SELECT description AS text, count(*)::bigint AS n FROM st WHERE status = 'accepted' GROUP BY ALL HAVING text = '__EMPTY__' OR n > 1",

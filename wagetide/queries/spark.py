@@ -313,10 +313,23 @@ def l_regions(spark, sf_dir):
     return t.regions.select("analysis_id", joined(F.col("inferred")).alias("inferred"), "conflict")
 
 
+def _spans(spark, sf_dir):
+    """A customer's orders of one priority as a candidate."""
+    o = tables.read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("analysis_id"), F.col("o_orderpriority").alias("cid"), F.to_date("o_orderdate").alias("d"), "o_orderkey")
+    c = o.groupBy("analysis_id", "cid").agg(F.array_sort(F.collect_list("d")).alias("dates"), (F.sum("o_orderkey") % 100 / 100).alias("confidence"))
+    c = c.withColumn("pool_ord", F.row_number().over(Window.partitionBy("analysis_id").orderBy("cid")))
+    return c.withColumns({"employers": F.array("cid"), "candidate_type": F.when(F.size("dates") >= 2, "probable_salary").otherwise("possible_salary")})
+
+
 @query
 def l_transitions(spark, sf_dir):
-    t = _detected(spark, sf_dir, "orders")
-    return t.transitions.select("analysis_id", "cid_a", "cid_b", "gap_days", "same_month")
+    return linking.transitions(_spans(spark, sf_dir)).select("analysis_id", "cid_a", "cid_b", "gap_days", joined(F.col("transition_months")).alias("months"), "same_month")
+
+
+@query
+def z_ranked(spark, sf_dir):
+    c = linking.ranked(_spans(spark, sf_dir), 0.40, 2, 2)
+    return c.select("analysis_id", "cid", "confidence", "rank", F.coalesce("placed", F.lit("none")).alias("placed"), scoring.band(F.col("confidence")).alias("band"))
 
 
 @query
