@@ -175,9 +175,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     # one row for each different text, by its smallest id
     nodes = rows.filter("doc_id is not null and n > 0").join(named, "h").filter("doc_id = cid").select("cid", "n", F.explode("keys").alias("key"))
     crowded = nodes.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("_lo"), F.max("cid").alias("_hi")).filter("_lo < _hi").select("key", "m")
+    # written first, these tables meet the crowded buckets in joins whose large partitions can be split
+    crowded = staged(crowded, "crowded")
     met = staged(nodes.join(crowded, "key").select("key", "cid", "n", "m"), "buckets")
     central = met.groupBy("cid").agg(F.sum("m").alias("c"))
     leaders = met.join(central, "cid").groupBy("key").agg(F.max(F.struct("c", (-F.col("cid")).alias("lead"), "n")).alias("_l")).select("key", (-F.col("_l.lead")).alias("a"), F.col("_l.n").alias("na"))
+    leaders = staged(leaders, "leaders")
     pairs = met.join(leaders, "key").filter("cid <> a").filter(F.least("n", "na") >= least * F.greatest("n", "na"))
     pairs = pairs.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
     texts = base.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "t")
@@ -188,6 +191,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("k"))
     open_ = sizes.groupBy("key").agg(F.sum("k").alias("m"), F.count("*").alias("_r"), F.max(F.struct("k", "root")).alias("_x")).filter("_r > 1 and m > 2")
     open_ = open_.select("key", F.col("_x.root").alias("main"), F.ceil(F.col("m") / block).alias("mb"), F.ceil((F.col("m") - F.col("_x.k")) / block).alias("rb"))
+    open_ = staged(open_, "open-buckets")
     left = placed.join(open_, "key")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     own = lambda n: F.pmod(F.xxhash64("cid"), n)
