@@ -171,7 +171,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("h"), text.alias("t"))
     rows = staged(base.mapInArrow(_sketches, "doc_id long, h binary, n long, keys array<long>"), "sketches")
     classes = rows.groupBy("h").agg(F.min("doc_id").alias("cid"))
-    named = classes.select("h", "cid")
+    named = staged(classes.select("h", "cid"), "classes")
     # one row for each different text, by its smallest id
     nodes = rows.filter("doc_id is not null and n > 0").join(named, "h").filter("doc_id = cid").select("cid", "n", F.explode("keys").alias("key"))
     crowded = nodes.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("_lo"), F.max("cid").alias("_hi")).filter("_lo < _hi").select("key", "m")
@@ -201,7 +201,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     more = staged(blocks.groupBy("key", "i", "j").applyInArrow(_settle(least), "a long, b long"), "near-links")
     roots = components(links.unionByName(more))
     final = named.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("h", F.col("cid").alias("text_id"), F.coalesce("root", "cid").alias("group_id"))
-    return rows.select("doc_id", "h").join(final, "h").select("doc_id", "text_id", "group_id")
+    return rows.select("doc_id", "h").join(staged(final, "named-classes"), "h").select("doc_id", "text_id", "group_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
