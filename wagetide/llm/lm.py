@@ -1,16 +1,17 @@
 """Scoring texts by online logistic context mixing, and by a unigram model of words as a yardstick.
 
 A text is its bytes, A-Z in lower case, and an end sign. Each byte is eight binary decisions; a decision is predicted from the counts
-of zeros and ones after the last 0, 1, 2, 3 and 5 bytes, and after the word so far. All but the two lowest of these orders live in hashed tables of fixed size, with a check
-byte for each slot; of two contexts with one slot the more frequent one stays. The predictions, as log odds, are combined by weights
+of zeros and ones after the last 0, 1, 2, 3 and 5 bytes, and after the word so far. The predictions, as log odds, are combined by weights
 that are gated by the decision's place, each context's confidence and that of the longest contexts: logistic mixing. The weights are learnt
 online, one small batch of decisions after the other, each decision predicted from counts that leave its own occurrence out. A second
 table, learnt in the same pass, refines the mixed probability by what followed such probabilities. For each text the plain and the refined model share the weight
 according to how well each did so far, and so the score is the log of the mean of both probabilities of the whole text.
 
-All training texts are counted: bytes with their contexts are counted per task, dealt out by the hash of the last two context bytes,
-and added up. Word counts are added up in buckets of the words' hashes, and each chunk of documents gets back the counts of its own words.
-Only tables of fixed size are collected and sent to the tasks.
+All training texts are counted: bytes with their contexts ("grams") are counted per task, dealt out by the hash of the last two context
+bytes, and added up. Grams of held-out texts are among them, with a count of zero. A bucket has all that was counted after its contexts of
+two bytes and more, so each distinct gram is scored there, once, from all counts; the logs are dealt out by the gram's hash, and each chunk
+of documents gets back those of its own grams. Words are counted in buckets of their hashes, and come back the same way. What is collected
+and sent to all tasks is the weights and the counts of orders 0 and 1, whose number the alphabet bounds.
 
 Null text counts as empty: one end token, one end sign. Documents whose id is null are held out. Repeated rows are all counted and
 each scored. Other columns are ignored.
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, MULT, Rolling, mix, packed, pieces, staged, text_buffer, unpacked, words
@@ -31,14 +32,11 @@ END = 0xFF
 LENGTHS, WINDOW = (0, 1, 2, 3, 5), 5
 ORDERS = len(LENGTHS) + 1
 FOLDS, HELD_OUT = 5, 1
-#: Slots (as powers of two) of the tables of the orders from 2 on.
-BITS = {2: 20, 3: 21, 4: 22, 5: 22}
-LEVELS, RANGE_BITS = 16, 16
+LEVELS = 16
 GATES = 2 * LEVELS
 STEPS = 24
-#: Bytes of text worked on at once, grams held by a task before it passes them on, a worker's
-#: scored grams (as a power of two), and contexts sent at once.
-PIECE, HELD, CACHE_BITS, SENT = 1 << 19, 1_400_000, 21, 400_000
+#: Bytes of text worked on at once, and grams held by a task before it passes them on.
+PIECE, HELD = 1 << 19, 1_400_000
 #: Bytes whose arrays fit a cache; the high 16 bits.
 STEP, TOP16 = 1 << 16, np.uint64(0xFFFF << 48)
 END_TOKEN = np.uint64(0x5851F42D4C957F2D)
@@ -86,16 +84,6 @@ def _level(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.where(n <= 0, 0, np.minimum(7, np.log2(np.maximum(n, 1) + 1).astype(np.int64)) * 2 + ((n0 <= 0) | (n1 <= 0))).astype(np.uint8)
 
 
-def _hash(ctx: np.ndarray, order: int) -> np.ndarray:
-    return mix(ctx * MULT + np.uint64(order))
-
-
-def _slot(h: np.ndarray, node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and check byte of a decision after a context of hash h."""
-    x = (h ^ (node * np.uint64(0x9FB21C651E98DF25))) * MULT
-    return (x >> np.uint64(64 - bits)).astype(np.int64), ((x >> np.uint64(24)) & np.uint64(255)).astype(np.uint32)
-
-
 def _decision(g: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
     """Which of the 255 decisions about the byte is its b-th, and how it went."""
     s = g & np.uint64(255)
@@ -159,36 +147,30 @@ class Mixer:
 
 
 class Model:
-    """The mixer and the tables. A slot holds a check byte, the confidence, and the log odds in sixteenths; orders 0 and 1 directly."""
+    """The mixer, the counts of orders 0 and 1, and the table of all counted grams, by bucket."""
 
-    def __init__(self, mixer: Mixer, low: list[np.ndarray], tables: dict[int, np.ndarray]):
-        self.mixer, self.tables = mixer, tables
-        self.low = [(_log_odds(*x).astype(np.float32), _level(*x)) for x in low]
+    def __init__(self, mixer: Mixer, low: list[np.ndarray], counted: DataFrame, buckets: int):
+        self.mixer, self.low, self.counted, self.buckets = mixer, low, counted, buckets
 
     def logs(self, g: np.ndarray) -> np.ndarray:
-        """Natural log of each gram's last byte's probability, by the plain and the refined model."""
+        """Natural log of each gram's last byte's probability, by the plain and the refined model. For a few grams: their buckets are
+        collected."""
+        own = _bucket(g, self.buckets)
         out = np.zeros((2, len(g)))
-        low = [(_context(g, k) << np.uint64(8)).astype(np.int64) for k in range(2)]
-        hashes = {k: _hash(_context(g, k), k) for k in self.tables}
-        st, levels = np.empty((ORDERS, len(g)), np.float32), np.empty((ORDERS, len(g)), np.uint8)
-        for b in range(8):
-            node, bit = _decision(g, b)
-            for k in range(2):
-                at = low[k] + node.astype(np.int64)
-                st[k], levels[k] = self.low[k][0][at], self.low[k][1][at]
-            for k, table in self.tables.items():
-                at, check = _slot(hashes[k], node, BITS[k])
-                x = table[at]
-                x = x * ((x >> np.uint32(16)) == check)
-                st[k] = (x & np.uint32(255)).astype(np.uint8).view(np.int8)
-                st[k] *= np.float32(1 / 16)
-                levels[k] = (x >> np.uint32(8)).astype(np.uint8)
-            gate = Mixer.gate(levels)
-            for i, p in enumerate(self.mixer.probabilities(self.mixer.odds(st, levels, gate, b), gate, b)):
-                out[i] += np.log(np.where(bit > 0, p, 1 - p))
+        for b in np.unique(own).tolist():
+            at = np.flatnonzero(own == b)
+            known = [(unpacked([r["g"]], np.uint64), unpacked([r["c"]], np.int64)) for r in self.counted.filter(F.col("bucket") == b).collect()]
+            every = np.concatenate([g[at], *(x for x, _ in known)])
+            count = np.concatenate([np.zeros(len(at)), *(c for _, c in known)])
+            out[:, at] = _logs(every, count, self.low, self.mixer)[:, : len(at)]
         return out
 
 
+def _bucket(g: np.ndarray, buckets: int) -> np.ndarray:
+    """By the last two bytes of the context."""
+    return ((mix(_context(g, 2) * MULT) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _count_grams(buckets: int):
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -203,7 +185,10 @@ def _count_grams(buckets: int):
         for batch in batches:
             for part in pieces(batch, "t", PIECE):
                 buf, off = text_buffer(part.column("t"))
-                held.append(np.unique(grams(LOWER[buf], off)[0], return_counts=True))
+                g, own = grams(LOWER[buf], off)
+                u, inv = np.unique(g, return_inverse=True)
+                learn = ~part.column("held").to_numpy(zero_copy_only=False)
+                held.append((u, np.bincount(inv, np.repeat(learn, np.diff(own)), len(u)).astype(np.int64)))
                 if sum(len(x) for x, _ in held) > HELD:
                     held[:] = [merged()]
                     if len(held[0][0]) > HELD // 2:
@@ -216,7 +201,7 @@ def _count_grams(buckets: int):
 
 def _packed(g: np.ndarray, c: np.ndarray, buckets: int) -> pa.RecordBatch:
     out: dict[str, list] = {"bucket": [], "g": [], "c": []}
-    for b, at in by_bucket(mix(_context(g, 2) * MULT) >> np.uint64(20), buckets):
+    for b, at in by_bucket(_bucket(g, buckets).astype(np.uint64), buckets):
         out["bucket"].append(b)
         out["g"].append(packed(g[at]))
         out["c"].append(packed(c[at].astype(np.uint32)))
@@ -254,8 +239,8 @@ def _grams_of(batch):
 
 
 def _after(g: np.ndarray, c: np.ndarray, order: int):
-    """For each of the eight decisions: zeros and ones after each gram's context; then contexts, decisions, zeros, ones of all. One sort
-    by context and byte brings the grams of every decision together."""
+    """For each of the eight decisions: zeros and ones after each gram's context. One sort by context and byte brings the grams of every
+    decision together."""
     key = (_context(g, order) << np.uint64(8)) | (g & np.uint64(255))
     o = np.argsort(key)
     key, c = key[o], c[o]
@@ -268,7 +253,36 @@ def _after(g: np.ndarray, c: np.ndarray, order: int):
         zeros = upto[ends] - upto[heads] - ones
         n0, n1 = np.empty(len(g)), np.empty(len(g))
         n0[o], n1[o] = np.repeat(zeros, ends - heads), np.repeat(ones, ends - heads)
-        yield (n0, n1), (key[heads] >> np.uint64(8), ((key[heads] & np.uint64(255)) >> np.uint64(8 - b)) | np.uint64(1 << b), zeros, ones)
+        yield n0, n1
+
+
+def _inputs(g: np.ndarray, c: np.ndarray, low: list[np.ndarray], own: int):
+    """For each of the eight decisions: log odds, levels (orders x grams), and how it went; from all counts, less own occurrences."""
+    sorts = {k: _after(g, c, k) for k in range(2, ORDERS)}
+    for b in range(8):
+        node, bit = _decision(g, b)
+        st, levels = np.zeros((ORDERS, len(g)), np.float32), np.zeros((ORDERS, len(g)), np.uint8)
+        for k in range(ORDERS):
+            if k < 2:
+                at = ((_context(g, k) << np.uint64(8)) | node).astype(np.int64)
+                n0, n1 = low[k][0][at], low[k][1][at]
+            else:
+                n0, n1 = next(sorts[k])
+            if own:
+                n0, n1 = n0 - own * (1 - bit), n1 - own * bit
+            levels[k] = _level(n0, n1)
+            st[k] = np.where(levels[k] > 0, _log_odds(n0, n1), 0)
+        yield st, levels, bit
+
+
+def _logs(g: np.ndarray, c: np.ndarray, low: list[np.ndarray], mixer: Mixer) -> np.ndarray:
+    """Logs of each gram's last byte's probability, by both models, where all that was counted in their bucket is among the grams."""
+    out = np.zeros((2, len(g)))
+    for b, (st, levels, bit) in enumerate(_inputs(g, c, low, 0)):
+        gate = Mixer.gate(levels)
+        for i, p in enumerate(mixer.probabilities(mixer.odds(st, levels, gate, b), gate, b)):
+            out[i] += np.log(np.where(bit > 0, p, 1 - p))
+    return out
 
 
 _LEARNT = pa.schema([("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
@@ -276,98 +290,55 @@ _LEARNT_DDL = "part long, a binary, b binary, c binary"
 
 
 def _learn(low: list[np.ndarray]):
-    """Contexts of the orders from 2 on, by table and range of slots: slot, check byte, confidence and log odds, and how often each was
-    met (in eighths of powers of two); and, as parts -1 to -8, sums over a task's mixers of weights by use, use, and what followed."""
+    """As parts 0 to 7, sums over a task's mixers of weights by use, use, and what followed."""
 
     def run(batches):
         w, used, seen = np.zeros((8, ORDERS, LEVELS, GATES)), np.zeros((8, ORDERS, LEVELS, GATES)), np.zeros((2, 8, GATES, STEPS))
         for batch in batches:
             for g, c in _grams_of(batch):
-                order = np.argsort(mix(g))  # grams in no order of their contexts
-                g, c = g[order], c[order]
-                mixer, sorts = Mixer(), {k: _after(g, c, k) for k in BITS}
-                found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
-                for b in range(8):
-                    node, bit = _decision(g, b)
-                    st, levels = np.zeros((ORDERS, len(g)), np.float32), np.zeros((ORDERS, len(g)), np.uint8)
-                    for k in range(ORDERS):
-                        if k < 2:
-                            at = ((_context(g, k) << np.uint64(8)) | node).astype(np.int64)
-                            n0, n1 = low[k][0][at], low[k][1][at]
-                        else:
-                            (n0, n1), (ctx, nodes, all0, all1) = next(sorts[k])
-                            slot, check = _slot(_hash(ctx, k), nodes, BITS[k])
-                            odds = np.round(_log_odds(all0, all1) * 16).astype(np.int8).view(np.uint8)
-                            x = (check << np.uint32(16)) | (_level(all0, all1).astype(np.uint32) << np.uint32(8)) | odds
-                            found.append((k, slot.astype(np.uint32), x, np.minimum(255, 8 * np.log2(all0 + all1 + 1)).astype(np.uint8)))
-                        n0, n1 = n0 - (1 - bit), n1 - bit
-                        levels[k] = _level(n0, n1)
-                        st[k] = np.where(levels[k] > 0, _log_odds(n0, n1), 0)
+                g, c = _in_no_order(g, c)
+                mixer = Mixer()
+                for b, (st, levels, bit) in enumerate(_inputs(g, c, low, 1)):
                     use = mixer.learn(st, levels, bit, c, b)
                     w[b], used[b] = w[b] + use * mixer.w[b], used[b] + use
-                    if b == 7 or sum(len(x[1]) for x in found) > SENT:
-                        yield _entries(found)
-                        found = []
                 seen += mixer.seen
         f = lambda x: to_bytes(x.astype(np.float32))
-        sums = {"part": [-1 - b for b in range(8)], "a": [f(w[b]) for b in range(8)], "b": [f(used[b]) for b in range(8)], "c": [f(seen[:, b]) for b in range(8)]}
+        sums = {"part": range(8), "a": [f(w[b]) for b in range(8)], "b": [f(used[b]) for b in range(8)], "c": [f(seen[:, b]) for b in range(8)]}
         yield pa.RecordBatch.from_pydict(sums, schema=_LEARNT)
 
     return run
 
 
-def _entries(found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Contexts (order, slots, values, how often met) as a row for each table and range of slots."""
-    out: dict[str, list] = {x: [] for x in _LEARNT.names}
-    for k in BITS:
-        slot, x, met = (np.concatenate([f[i] for f in found if f[0] == k]) for i in (1, 2, 3))
-        for r, at in by_bucket((slot >> np.uint32(RANGE_BITS)).astype(np.uint64), 1 << 30):
-            at = at[np.argsort(slot[at])]
-            out["part"].append(k << 16 | r)
-            out["a"].append(packed((slot[at] & np.uint32((1 << RANGE_BITS) - 1)).astype(np.uint16)))
-            out["b"].append(packed(x[at]))
-            out["c"].append(packed(met[at]))
-    return pa.RecordBatch.from_pydict(out, schema=_LEARNT)
-
-
-def _range(rows: pa.Table) -> pa.Table:
-    """A range of a table: of the contexts of a slot the most frequent. Or the sums of one decision's mixers."""
-    part = rows.column("part")[0].as_py()
-    if part < 0:
-        added = {k: to_bytes(sum(np.frombuffer(x, np.float32).astype(np.float64) for x in rows.column(k).to_pylist())) for k in "abc"}
-        return pa.table({"part": [part], **{k: [v] for k, v in added.items()}}, schema=_LEARNT)
-    slot, value, met = (unpacked(rows.column(k).to_pylist(), kind) for k, kind in (("a", np.uint16), ("b", np.uint32), ("c", np.uint8)))
-    order = np.lexsort((value, met, slot))
-    best = order[np.r_[slot[order][1:] != slot[order][:-1], True]]
-    x = np.zeros(1 << RANGE_BITS, np.uint32)
-    x[slot[best]] = value[best]
-    return pa.table({"part": [part], "a": [to_bytes(x)], "b": [b""], "c": [b""]}, schema=_LEARNT)
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learns from all documents given. What comes back has the size of the tables, whatever the input."""
+def _in_no_order(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of training texts, in no order of their contexts."""
+    g, c = g[c > 0], c[c > 0]
+    order = np.argsort(mix(g))
+    return g[order], c[order]
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    added = {k: to_bytes(sum(np.frombuffer(x, np.float32).astype(np.float64) for x in rows.column(k).to_pylist())) for k in "abc"}
+    return pa.table({"part": [rows.column("part")[0].as_py()], **{k: [v] for k, v in added.items()}}, schema=_LEARNT)
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> Model:
+    """Learns from all documents given but those held out, whose grams are counted as zero. What comes back are weights and the counts of
+    orders 0 and 1; all other counts stay a table in the shared folder, which grows with the input."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     buckets = max(1, -(-size // (4 << 20)))
-    packed = docs.select(F.col(text_col).alias("t")).mapInArrow(_count_grams(buckets), "bucket long, g binary, c binary")
-    counted = staged(packed.groupBy("bucket").applyInArrow(_add_grams, "bucket long, g binary, c binary"), "grams").select("g", "c")
+    packed = docs.select(F.col(text_col).alias("t"), (F.lit(False) if held is None else held).alias("held")).mapInArrow(_count_grams(buckets), "bucket long, g binary, c binary")
+    table = staged(packed.groupBy("bucket").applyInArrow(_add_grams, "bucket long, g binary, c binary"), "grams")
+    counted = table.select("g", "c")
     low = [np.zeros((2, 256)), np.zeros((2, 65536))]
     for r in counted.mapInArrow(_low_counts, "at long, n0 double, n1 double").groupBy("at").agg(F.sum("n0"), F.sum("n1")).collect():
         k, at = (0, r[0]) if r[0] < 256 else (1, r[0] - 256)
         low[k][:, at] = r[1], r[2]
-    learnt = counted.mapInArrow(_learn(low), _LEARNT_DDL).groupBy("part").applyInArrow(_range, _LEARNT_DDL)
     w, seen = np.full((8, ORDERS, LEVELS, GATES), 0.2), np.zeros((2, 8, GATES, STEPS))
-    tables = {k: np.zeros(1 << b, np.uint32) for k, b in BITS.items()}
-    # as many rows as the tables have ranges, and eight
-    for r in learnt.collect():
-        if r["part"] < 0:
-            b = -1 - r["part"]
-            total, used = np.frombuffer(r["a"]).reshape(w[b].shape), np.frombuffer(r["b"]).reshape(w[b].shape)
-            w[b], seen[:, b] = np.where(used > 0, total / np.maximum(used, 1e-9), 0.2), np.frombuffer(r["c"]).reshape(seen[:, b].shape)
-        else:
-            k, a = r["part"] >> 16, (r["part"] & 0xFFFF) << RANGE_BITS
-            tables[k][a : a + (1 << RANGE_BITS)] = np.frombuffer(r["a"], np.uint32)
-    mixer = Mixer(w, seen)
-    return Model(mixer, low, tables)
+    for r in counted.mapInArrow(_learn(low), _LEARNT_DDL).groupBy("part").applyInArrow(_summed, _LEARNT_DDL).collect():
+        b = r["part"]
+        total, used = np.frombuffer(r["a"]).reshape(w[b].shape), np.frombuffer(r["b"]).reshape(w[b].shape)
+        w[b], seen[:, b] = np.where(used > 0, total / np.maximum(used, 1e-9), 0.2), np.frombuffer(r["c"]).reshape(seen[:, b].shape)
+    return Model(Mixer(w, seen), low, table, buckets)
 
 
 def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -410,35 +381,78 @@ def _word_counts(rows: pa.Table) -> pa.Table:
     return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "c": pa.array(back, pa.binary()), "total": pa.array(first * count.sum()), "kinds": pa.array(first * (count > 0).sum())})
 
 
-class _Known:
-    """A worker's scored grams: a direct-mapped cache by a hash of the gram."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.g, self.logs = np.zeros(1 << CACHE_BITS, np.uint64), np.zeros((1 << CACHE_BITS, 2), np.float32)
-
-    def of(self, g: np.ndarray) -> np.ndarray:
-        """Two logs for each gram; a value does not depend on what is cached."""
-        at = (mix(g) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-        out = self.logs[at]
-        miss = np.flatnonzero(self.g[at] != g)
-        if len(miss):
-            u, inv = np.unique(g[miss], return_inverse=True)
-            logs = np.concatenate([self.model.logs(u[a : a + 16384]) for a in range(0, len(u), 16384)], axis=1).T.astype(np.float32)
-            out[miss] = logs[inv]
-            at = (mix(u) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-            self.g[at], self.logs[at] = u, logs
-        return out
+def _chunk_grams(buf: np.ndarray, off: np.ndarray):
+    """Grams of some rows and their offsets, again and again until all rows are done."""
+    row = 0
+    while row < len(off) - 1:
+        stop = max(row + 1, int(np.searchsorted(off, off[row] + PIECE, "right")) - 1)
+        yield grams(LOWER[buf[off[row] : off[stop]]], off[row : stop + 1] - off[row])
+        row = stop
+
+
+def _distinct(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return np.unique(np.concatenate([np.unique(g) for g, _ in _chunk_grams(buf, off)]))
+
+
+def _by_hash(u: np.ndarray, n: int):
+    return by_bucket(mix(u) >> np.uint64(20), n)
 
 
-_KNOWN: dict[str, _Known] = {}
+def _asked(n: int):
+    """A chunk's distinct grams, dealt out by their hashes."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        docs, _, buf, off = ordered(docs)
+        u, chunk = _distinct(buf, off), docs.column("__c")[0].as_py()
+        rows = [(b, chunk, packed(u[at])) for b, at in _by_hash(u, n)]
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ASKED, strict=True)], schema=_ASKED)
+
+    return run
+
+
+_ASKED = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("g", pa.binary())])
+_BACK = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("c", pa.binary())])
+
+
+def _gram_logs(low: list[np.ndarray], mixer: Mixer, n: int):
+    """Both logs of each counted gram as one number of 64 bits, dealt out by the gram's hash."""
+
+    def run(batches):
+        for batch in batches:
+            for g, c in _grams_of(batch):
+                logs = np.ascontiguousarray(_logs(g, c, low, mixer).T.astype(np.float32)).view(np.uint64).ravel()
+                out: dict[str, list] = {"bucket": [], "g": [], "logs": []}
+                for b, at in _by_hash(g, n):
+                    out["bucket"].append(b)
+                    out["g"].append(packed(g[at]))
+                    out["logs"].append(packed(logs[at]))
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), ("g", pa.binary()), ("logs", pa.binary())]))
+
+    return run
+
+
+def _answers(n: int):
+    """The logs of the grams asked for. Their buckets are numbered behind those of the words."""
+
+    def run(asked: pa.Table, logs: pa.Table) -> pa.Table:
+        g, value = (unpacked(logs.column(k).to_pylist(), np.uint64) for k in ("g", "logs"))
+        order = np.argsort(g)
+        g, value = g[order], value[order]
+        back = []
+        for x in asked.column("g").to_pylist():
+            q = unpacked([x], np.uint64)
+            at = np.searchsorted(g, q)
+            if not np.array_equal(g[np.minimum(at, len(g) - 1)], q):
+                raise ValueError("a text's gram was not counted")
+            back.append(packed(value[at]))
+        bucket = [n + b for b in asked.column("bucket").to_pylist()]
+        return pa.table([pa.array(x, f.type) for x, f in zip((asked.column("chunk").to_pylist(), bucket, back), _BACK, strict=True)], schema=_BACK)
+
+    return run
 
 
-def _scored(n: int, sent):
+def _scored(n: int):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        model = sent.value
-        if getattr(_KNOWN.get("last"), "model", None) is not model:
-            _KNOWN["last"] = _Known(model)
         docs, buf, off, tok, u, inv = _all_tokens(docs)
         c = np.zeros(len(u), np.int64)
         back = dict(zip(counts.column("bucket").to_pylist(), counts.column("c").to_pylist(), strict=True))
@@ -447,13 +461,16 @@ def _scored(n: int, sent):
         c = c[inv]
         per = lambda x: np.add.reduceat(x, tok[:-1])  # noqa: E731  each row has a token
         base = per(np.log10(c + 0.5))
-        scores, row = [], 0
-        while row < len(off) - 1:
-            stop = max(row + 1, int(np.searchsorted(off, off[row] + PIECE, "right")) - 1)
-            g, own = grams(LOWER[buf[off[row] : off[stop]]], off[row : stop + 1] - off[row])
-            logs = np.add.reduceat(_KNOWN["last"].of(g), own[:-1], axis=0, dtype=np.float64).T
+        known = _distinct(buf, off)
+        value = np.zeros(len(known), np.uint64)
+        for b, at in _by_hash(known, n):
+            value[at] = unpacked([back[n + b]], np.uint64)
+        value = value.view(np.float32).reshape(-1, 2)
+        scores = []
+        for g, own in _chunk_grams(buf, off):
+            u, inv = np.unique(g, return_inverse=True)
+            logs = np.add.reduceat(value[np.searchsorted(known, u)][inv], own[:-1], axis=0, dtype=np.float64).T
             scores.append((np.logaddexp(logs[0], logs[1]) - np.log(2)) / np.log(10))
-            row = stop
         score = np.concatenate(scores)
         bits = -score / np.log10(2) / np.maximum(1, np.diff(off))
         return pa.table({
@@ -469,14 +486,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
     docs = docs.select(id_col, text_col, held.alias("__held"))
     own, n = chunked(docs, id_col, text_col, ["__held"])
-    model = docs.sparkSession.sparkContext.broadcast(train(docs.filter(~F.col("__held")), id_col, text_col))
+    model = train(docs, id_col, text_col, F.col("__held"))
     by_chunk = own.groupBy("__c")
+    asked = by_chunk.applyInArrow(_asked(n), "bucket long, chunk long, g binary").groupBy("bucket")
+    logs = model.counted.select("g", "c").mapInArrow(_gram_logs(model.low, model.mixer, n), "bucket long, g binary, logs binary").groupBy("bucket")
+    answers = asked.cogroup(logs).applyInArrow(_answers(n), "chunk long, bucket long, c binary")
     index = by_chunk.applyInArrow(_words_of(n), "bucket long, chunk long, h binary, c binary")
     counts = index.groupBy("bucket").applyInArrow(_word_counts, "chunk long, bucket long, c binary, total long, kinds long")
     size = counts.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
-    made = by_chunk.cogroup(counts.select("chunk", "bucket", "c").groupBy("chunk")).applyInArrow(_scored(n, model), schema)
+    both = counts.select("chunk", "bucket", "c").union(answers)
+    made = by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(_scored(n), schema)
     # the yardstick's denominator is one row of two sums
     made = made.crossJoin(F.broadcast(size))
     base = F.col("base_score") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.5 * (F.col("kinds") + 1))
