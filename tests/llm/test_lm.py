@@ -28,3 +28,18 @@ def test_scores_from_the_table_are_those_of_brute_force(spark):
         logs = model.logs(lm.grams(lm.LOWER[buf], np.array([0, len(buf)]))[0]).sum(1)
         want[i] = (np.logaddexp(*logs) - np.log(2)) / np.log(10)
     assert np.allclose(got.score, [want[i] for i in got.doc_id], atol=1e-4)
+
+
+def test_refinement_follows_the_final_mixer(spark):
+    """Contexts of 0 to 5 bytes; and the second table has what followed the averaged mixer's own probabilities."""
+    assert lm.LENGTHS == (0, 1, 2, 3, 4, 5)
+    model = lm.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60))
+    want, total = np.zeros_like(model.mixer.seen), 0
+    for r in model.counted.collect():
+        g, c = lm.unpacked([r["g"]], np.uint64), lm.unpacked([r["c"]], np.int64).astype(float)
+        total += c.sum()
+        for b, (st, levels, bit) in enumerate(lm._inputs(g, c, model.low, 1)):
+            gate = lm.Mixer.gate(levels)
+            step = lm.Mixer.step(model.mixer.odds(st, levels, gate, b))
+            np.add.at(want, (bit.astype(int), b, gate, step), c)
+    assert np.allclose(model.mixer.seen, want) and np.allclose(want.sum((0, 2, 3)), total)

@@ -1,10 +1,11 @@
 """Scoring texts by online logistic context mixing, and by a unigram model of words as a yardstick.
 
 A text is its bytes, A-Z in lower case, and an end sign. Each byte is eight binary decisions; a decision is predicted from the counts
-of zeros and ones after the last 0, 1, 2, 3 and 5 bytes, and after the word so far. The predictions, as log odds, are combined by weights
+of zeros and ones after the last 0 to 5 bytes, and after the word so far. The predictions, as log odds, are combined by weights
 that are gated by the decision's place, each context's confidence and that of the longest contexts: logistic mixing. The weights are learnt
-online, one small batch of decisions after the other, each decision predicted from counts that leave its own occurrence out. A second
-table, learnt in the same pass, refines the mixed probability by what followed such probabilities. For each text the plain and the refined model share the weight
+online, in two passes, one small batch of decisions after the other, each decision predicted from counts that leave its own occurrence
+out, and averaged over the buckets. A second table refines the final mixer's probability by what followed such probabilities; a pass of its
+own fills it. For each text the plain and the refined model share the weight
 according to how well each did so far, and so the score is the log of the mean of both probabilities of the whole text.
 
 All training texts are counted: bytes with their contexts ("grams") are counted per task, dealt out by the hash of the last two context
@@ -29,14 +30,16 @@ from .suffix import by_bucket, chunked, ordered, to_bytes
 
 END = 0xFF
 #: Bytes of the contexts; the last context is the word so far.
-LENGTHS, WINDOW = (0, 1, 2, 3, 5), 5
+LENGTHS, WINDOW = (0, 1, 2, 3, 4, 5), 5
 ORDERS = len(LENGTHS) + 1
 FOLDS, HELD_OUT = 5, 1
 LEVELS = 16
 GATES = 2 * LEVELS
 STEPS = 24
-#: Bytes of text worked on at once, and grams held by a task before it passes them on.
-PIECE, HELD = 1 << 19, 1_400_000
+PASSES = 2
+#: Bytes of text worked on at once, grams held by a task before it passes them on, and chunks that ask for grams together: the larger, the
+#: fewer grams are asked for twice.
+PIECE, HELD, TOGETHER = 1 << 19, 1_400_000, 3
 #: Bytes whose arrays fit a cache; the high 16 bits.
 STEP, TOP16 = 1 << 16, np.uint64(0xFFFF << 48)
 END_TOKEN = np.uint64(0x5851F42D4C957F2D)
@@ -98,7 +101,7 @@ def _context(g: np.ndarray, order: int) -> np.ndarray:
 
 
 class Mixer:
-    """Weights by decision, order, confidence of the order, and gate; and what followed a gate's probabilities."""
+    """Weights by decision, order, confidence of the order, and gate; and what followed a gate's probabilities, where that is known."""
 
     def __init__(self, weights: np.ndarray | None = None, seen: np.ndarray | None = None):
         self.w = np.full((8, ORDERS, LEVELS, GATES), 0.2) if weights is None else weights
@@ -119,23 +122,26 @@ class Mixer:
         return np.clip((self.w[b].ravel()[self.places(levels, gate)] * st).sum(0), -11, 11)
 
     def learn(self, st: np.ndarray, levels: np.ndarray, bit: np.ndarray, weight: np.ndarray, b: int, size: int = 2048) -> np.ndarray:
-        """One online pass over the b-th decisions; returns how much each weight was used. st, levels: orders x decisions."""
+        """Online passes over the b-th decisions; returns how much each weight was used. st, levels: orders x decisions."""
         gate = self.gate(levels)
         places = self.places(levels, gate)
         w = self.w[b].ravel()
         squares, used = np.full(w.size, 1e-3), sum(np.bincount(x, weight, w.size) for x in places)
-        for a in range(0, st.shape[1], size):
-            i, x, c, y, q = places[:, a : a + size], st[:, a : a + size], weight[a : a + size], bit[a : a + size], gate[a : a + size]
+        for a in [*range(0, st.shape[1], size)] * PASSES:
+            i, x, c, y = places[:, a : a + size], st[:, a : a + size], weight[a : a + size], bit[a : a + size]
             odds = np.clip((w[i] * x).sum(0), -11, 11)
-            at = q * STEPS + self.step(odds)
-            for v in range(2):
-                self.seen[v, b] += np.bincount(at, c * (y == v), GATES * STEPS).reshape(GATES, STEPS)
             g = np.bincount(i.ravel(), ((y - 1 / (1 + np.exp(-odds))) * c * x).ravel(), w.size)
             squares += g * g
             w += 0.05 * g / np.sqrt(squares)
         self.w[b] = w.reshape(self.w[b].shape)
         return used.reshape(self.w[b].shape)
 
+    def watch(self, st: np.ndarray, levels: np.ndarray, bit: np.ndarray, weight: np.ndarray, b: int) -> np.ndarray:
+        """What followed the probabilities of the b-th decisions: zeros and ones by gate and step."""
+        gate = self.gate(levels)
+        at = gate * STEPS + self.step(self.odds(st, levels, gate, b))
+        return np.stack([np.bincount(at, weight * (bit == v), GATES * STEPS).reshape(GATES, STEPS) for v in range(2)])
+
     @staticmethod
     def step(odds: np.ndarray) -> np.ndarray:
         return np.clip(((odds + 12) * (STEPS / 24)).astype(np.int64), 0, STEPS - 1)
@@ -171,6 +177,13 @@ def _bucket(g: np.ndarray, buckets: int) -> np.ndarray:
     return ((mix(_context(g, 2) * MULT) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _runs(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and how often each is there."""
+    g = np.sort(g)
+    heads = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+    return g[heads], np.diff(np.r_[heads, len(g)])
+
+
 def _count_grams(buckets: int):
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -186,9 +199,10 @@ def _count_grams(buckets: int):
             for part in pieces(batch, "t", PIECE):
                 buf, off = text_buffer(part.column("t"))
                 g, own = grams(LOWER[buf], off)
-                u, inv = np.unique(g, return_inverse=True)
-                learn = ~part.column("held").to_numpy(zero_copy_only=False)
-                held.append((u, np.bincount(inv, np.repeat(learn, np.diff(own)), len(u)).astype(np.int64)))
+                out = np.repeat(part.column("held").to_numpy(zero_copy_only=False), np.diff(own))
+                held.append(_runs(g[~out]))
+                u = _runs(g[out])[0]
+                held.append((u, np.zeros(len(u), np.int64)))
                 if sum(len(x) for x, _ in held) > HELD:
                     held[:] = [merged()]
                     if len(held[0][0]) > HELD // 2:
@@ -285,15 +299,15 @@ def _logs(g: np.ndarray, c: np.ndarray, low: list[np.ndarray], mixer: Mixer) ->
     return out
 
 
-_LEARNT = pa.schema([("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-_LEARNT_DDL = "part long, a binary, b binary, c binary"
+_LEARNT = pa.schema([("part", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+_LEARNT_DDL = "part long, a binary, b binary"
 
 
 def _learn(low: list[np.ndarray]):
-    """As parts 0 to 7, sums over a task's mixers of weights by use, use, and what followed."""
+    """As parts 0 to 7, sums over a task's mixers of weights by use, and use."""
 
     def run(batches):
-        w, used, seen = np.zeros((8, ORDERS, LEVELS, GATES)), np.zeros((8, ORDERS, LEVELS, GATES)), np.zeros((2, 8, GATES, STEPS))
+        w, used = np.zeros((8, ORDERS, LEVELS, GATES)), np.zeros((8, ORDERS, LEVELS, GATES))
         for batch in batches:
             for g, c in _grams_of(batch):
                 g, c = _in_no_order(g, c)
@@ -301,14 +315,30 @@ def _learn(low: list[np.ndarray]):
                 for b, (st, levels, bit) in enumerate(_inputs(g, c, low, 1)):
                     use = mixer.learn(st, levels, bit, c, b)
                     w[b], used[b] = w[b] + use * mixer.w[b], used[b] + use
-                seen += mixer.seen
-        f = lambda x: to_bytes(x.astype(np.float32))
-        sums = {"part": range(8), "a": [f(w[b]) for b in range(8)], "b": [f(used[b]) for b in range(8)], "c": [f(seen[:, b]) for b in range(8)]}
-        yield pa.RecordBatch.from_pydict(sums, schema=_LEARNT)
+        yield _parts(w, used)
 
     return run
 
 
+def _watched(low: list[np.ndarray], mixer: Mixer):
+    """As parts 0 to 7, zeros and ones that followed the final mixer's probabilities."""
+
+    def run(batches):
+        seen = np.zeros((2, 8, GATES, STEPS))
+        for batch in batches:
+            for g, c in _grams_of(batch):
+                g, c = g[c > 0], c[c > 0]
+                for b, x in enumerate(_inputs(g, c, low, 1)):
+                    seen[:, b] += mixer.watch(*x, c, b)
+        yield _parts(*seen)
+
+    return run
+
+
+def _parts(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"part": range(8), "a": [to_bytes(x) for x in a], "b": [to_bytes(x) for x in b]}, schema=_LEARNT)
+
+
 def _in_no_order(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The grams of training texts, in no order of their contexts."""
     g, c = g[c > 0], c[c > 0]
@@ -317,7 +347,7 @@ def _in_no_order(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summed(rows: pa.Table) -> pa.Table:
-    added = {k: to_bytes(sum(np.frombuffer(x, np.float32).astype(np.float64) for x in rows.column(k).to_pylist())) for k in "abc"}
+    added = {k: to_bytes(sum(np.frombuffer(x) for x in rows.column(k).to_pylist())) for k in "ab"}
     return pa.table({"part": [rows.column("part")[0].as_py()], **{k: [v] for k, v in added.items()}}, schema=_LEARNT)
 
 
@@ -325,7 +355,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     """Learns from all documents given but those held out, whose grams are counted as zero. What comes back are weights and the counts of
     orders 0 and 1; all other counts stay a table in the shared folder, which grows with the input."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    buckets = max(1, -(-size // (4 << 20)))
+    buckets = max(1, -(-size // (8 << 20)))
     packed = docs.select(F.col(text_col).alias("t"), (F.lit(False) if held is None else held).alias("held")).mapInArrow(_count_grams(buckets), "bucket long, g binary, c binary")
     table = staged(packed.groupBy("bucket").applyInArrow(_add_grams, "bucket long, g binary, c binary"), "grams")
     counted = table.select("g", "c")
@@ -334,10 +364,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
         k, at = (0, r[0]) if r[0] < 256 else (1, r[0] - 256)
         low[k][:, at] = r[1], r[2]
     w, seen = np.full((8, ORDERS, LEVELS, GATES), 0.2), np.zeros((2, 8, GATES, STEPS))
-    for r in counted.mapInArrow(_learn(low), _LEARNT_DDL).groupBy("part").applyInArrow(_summed, _LEARNT_DDL).collect():
+    summed = lambda run: counted.mapInArrow(run, _LEARNT_DDL).groupBy("part").applyInArrow(_summed, _LEARNT_DDL).collect()
+    for r in summed(_learn(low)):
         b = r["part"]
         total, used = np.frombuffer(r["a"]).reshape(w[b].shape), np.frombuffer(r["b"]).reshape(w[b].shape)
-        w[b], seen[:, b] = np.where(used > 0, total / np.maximum(used, 1e-9), 0.2), np.frombuffer(r["c"]).reshape(seen[:, b].shape)
+        w[b] = np.where(used > 0, total / np.maximum(used, 1e-9), 0.2)
+    for r in summed(_watched(low, Mixer(w))):
+        for v in range(2):
+            seen[v, r["part"]] = np.frombuffer(r["ab"[v]]).reshape(GATES, STEPS)
     return Model(Mixer(w, seen), low, table, buckets)
 
 
@@ -352,10 +386,20 @@ def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, out_off
 
 
+def _row_pieces(buf: np.ndarray, off: np.ndarray):
+    """Bytes, in lower case, and offsets of some rows, until all rows are done."""
+    row = 0
+    while row < len(off) - 1:
+        stop = max(row + 1, int(np.searchsorted(off, off[row] + PIECE, "right")) - 1)
+        yield LOWER[buf[off[row] : off[stop]]], off[row : stop + 1] - off[row]
+        row = stop
+
+
 def _all_tokens(docs: pa.Table):
     docs, _, buf, off = ordered(docs)
-    h, out_off = _tokens(LOWER[buf], off)
-    u, inv = np.unique(h, return_inverse=True)
+    made = [_tokens(*x) for x in _row_pieces(buf, off)]
+    out_off = np.r_[0, np.cumsum(np.concatenate([np.diff(o) for _, o in made]))]
+    u, inv = np.unique(np.concatenate([h for h, _ in made]), return_inverse=True)
     return docs, buf, off, out_off, u, inv
 
 
@@ -381,19 +425,6 @@ def _word_counts(rows: pa.Table) -> pa.Table:
     return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "c": pa.array(back, pa.binary()), "total": pa.array(first * count.sum()), "kinds": pa.array(first * (count > 0).sum())})
 
 
-def _chunk_grams(buf: np.ndarray, off: np.ndarray):
-    """Grams of some rows and their offsets, again and again until all rows are done."""
-    row = 0
-    while row < len(off) - 1:
-        stop = max(row + 1, int(np.searchsorted(off, off[row] + PIECE, "right")) - 1)
-        yield grams(LOWER[buf[off[row] : off[stop]]], off[row : stop + 1] - off[row])
-        row = stop
-
-
-def _distinct(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    return np.unique(np.concatenate([np.unique(g) for g, _ in _chunk_grams(buf, off)]))
-
-
 def _by_hash(u: np.ndarray, n: int):
     return by_bucket(mix(u) >> np.uint64(20), n)
 
@@ -403,7 +434,7 @@ def _asked(n: int):
 
     def run(docs: pa.Table) -> pa.Table:
         docs, _, buf, off = ordered(docs)
-        u, chunk = _distinct(buf, off), docs.column("__c")[0].as_py()
+        u, chunk = _runs(np.concatenate([_runs(grams(*x)[0])[0] for x in _row_pieces(buf, off)]))[0], docs.column("__c")[0].as_py()
         rows = [(b, chunk, packed(u[at])) for b, at in _by_hash(u, n)]
         return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ASKED, strict=True)], schema=_ASKED)
 
@@ -461,14 +492,18 @@ def _scored(n: int):
         c = c[inv]
         per = lambda x: np.add.reduceat(x, tok[:-1])  # noqa: E731  each row has a token
         base = per(np.log10(c + 0.5))
-        known = _distinct(buf, off)
+        made = []
+        for x in _row_pieces(buf, off):
+            g, own = grams(*x)
+            u, inv = np.unique(g, return_inverse=True)
+            made.append((u, inv.astype(np.int32), own))
+        known = _runs(np.concatenate([u for u, _, _ in made]))[0]
         value = np.zeros(len(known), np.uint64)
         for b, at in _by_hash(known, n):
             value[at] = unpacked([back[n + b]], np.uint64)
         value = value.view(np.float32).reshape(-1, 2)
         scores = []
-        for g, own in _chunk_grams(buf, off):
-            u, inv = np.unique(g, return_inverse=True)
+        for u, inv, own in made:
             logs = np.add.reduceat(value[np.searchsorted(known, u)][inv], own[:-1], axis=0, dtype=np.float64).T
             scores.append((np.logaddexp(logs[0], logs[1]) - np.log(2)) / np.log(10))
         score = np.concatenate(scores)
@@ -486,6 +521,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
     docs = docs.select(id_col, text_col, held.alias("__held"))
     own, n = chunked(docs, id_col, text_col, ["__held"])
+    n = max(8, -(-n // TOGETHER))
+    own = own.withColumn("__c", F.pmod("__c", F.lit(n)))
     model = train(docs, id_col, text_col, F.col("__held"))
     by_chunk = own.groupBy("__c")
     asked = by_chunk.applyInArrow(_asked(n), "bucket long, chunk long, g binary").groupBy("bucket")
