@@ -101,11 +101,21 @@ def n_normalised(spark, sf_dir):
     return c.select("analysis_id", "id", "normalised", joined(F.col("tokens")).alias("tokens"), "skeleton")
 
 
+def _token_counts(docs: DataFrame) -> DataFrame:
+    t = text.tokens(text.normalised(F.col("text")))
+    return docs.select(F.explode(t).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
 @query
 def n_token_counts(spark, sf_dir):
-    d = tables.read(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    t = text.tokens(text.normalised(F.col("text")))
-    return d.select(F.explode(t).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    """Of ASCII documents only, which the SQL can follow; n_token_counts_all has all."""
+    return _token_counts(tables.read(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")))
+
+
+@query
+def n_token_counts_all(spark, sf_dir):
+    """Of all documents, whatever their script; no SQL folds characters this way."""
+    return _token_counts(tables.read(spark, sf_dir, "documents"))
 
 
 @query
