@@ -92,3 +92,25 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     path = path or shared_path(spark, "slot-map")
     store(spark, path, 1, plan({k: v[0] for k, v in sizes.items()}, n_shards), sizes)
     return assign(rows, load(spark, path, 1)).withColumn("map_version", F.lit(1))
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions written to their end under path, oldest first."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "version=*/_SUCCESS")) or []
+    return sorted(int(x.getPath().getParent().getName().split("=")[1]) for x in done)
+
+
+def rebalance(docs: DataFrame, path: str, n_shards: int, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
+    """Edits the last version of the map under path for the rows given and n_shards, stores the next version and applies it. Slots move
+    only where plan() has to move them; n_slots must be that of the first version. Calls for one path must not overlap."""
+    spark, rows = docs.sparkSession, records(docs, id_col, text_col, n_slots)
+    known = versions(spark, path)
+    if not known:
+        raise ValueError(f"no version of a slot map in {path}")
+    previous = {r["virtual_slot"]: r["shard"] for r in load(spark, path, known[-1]).select("virtual_slot", "shard").collect()}
+    sizes, version = slot_sizes(rows), known[-1] + 1
+    store(spark, path, version, plan({k: v[0] for k, v in sizes.items()}, n_shards, previous), sizes)
+    return assign(rows, load(spark, path, version)).withColumn("map_version", F.lit(version))
