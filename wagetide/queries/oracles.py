@@ -173,6 +173,7 @@ CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.70 THEN 'medium_hi
     "v_row_status": f"WITH {_DIRTY} SELECT analysis_id, pos, status, abs(amount)::double AS value, way, date AS day FROM st",
     "v_warning_counts": f"WITH {_DIRTY} SELECT status AS code, count(*)::bigint AS n, count(DISTINCT analysis_id)::bigint AS analyses FROM st WHERE status <> 'accepted' GROUP BY ALL",
     "v_descriptions": f"WITH {_DIRTY} SELECT description AS text, count(*)::bigint AS n FROM st WHERE status = 'accepted' GROUP BY ALL HAVING text = '__EMPTY__' OR n > 1",
+    "v_descriptions_all": f"WITH {_DIRTY} SELECT description AS text, count(*)::bigint AS n FROM st WHERE status = 'accepted' GROUP BY ALL",
     "v_schema_violations": f"WITH {_DIRTY} SELECT analysis_id, id AS transaction_id, 'direction' AS field, 'schema_violation' AS code FROM dirty WHERE pos % 3 = 0 OR direction IS NULL",
     "n_normalised": f"WITH {ORDERS}, {_normal('orow')} SELECT analysis_id, id, normalised, array_to_string(tokens, '|') AS tokens, skeleton FROM n",
     "n_token_counts": r"""WITH d AS (SELECT regexp_replace(regexp_replace(upper(text), '\bPUBLIC LIMITED COMPANY\b', 'PLC', 'g'), '\bLIMITED\b', 'LTD', 'g') AS t FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')),

@@ -84,6 +84,13 @@ def v_descriptions(spark, sf_dir):
     return c.groupBy("text").agg(F.count("*").alias("n")).filter("text = '__EMPTY__' or n > 1")
 
 
+@query
+def v_descriptions_all(spark, sf_dir):
+    """Every description, also those that occur once."""
+    c = validation.checked(_dirty_orders(spark, sf_dir)).filter("status is null")
+    return c.groupBy("text").agg(F.count("*").alias("n"))
+
+
 @query
 def v_schema_violations(spark, sf_dir):
     r = _dirty_orders(spark, sf_dir).withColumn("direction", F.when(F.col("pos") % 3 == 0, F.lit(None)).otherwise(F.col("direction")))
