@@ -8,7 +8,7 @@ than the last one kept would lie outside all leaves seen with a probability of C
 A query set grows with the table, so it is dealt into parts of at most PART queries; each block meets each part once. Equal vectors
 within a block are indexed once with their smallest ids, so copies cost nothing.
 
-Rows with a null id, and vectors that are null, zero, of another length than the longest, or hold null or non-finite components, take
+Rows with a null id, and vectors that are null, zero, of another length than the most frequent (of two, the longer), or hold null or non-finite components, take
 no part. Rows of one id are one query and one candidate, by whichever is nearest. An empty table gives an empty result.
 """
 
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 DIMS, LEAF, CONFIDENCE = 8, 32, 0.97
 BLOCK, PART = 65_536, 16_384
+#: Small tables are dealt into so many blocks at most, of SMALL rows at least, whatever the cluster.
+SPREAD, SMALL = 8, 2048
 
 
 def chi_square(x: np.ndarray, dims: int = DIMS) -> np.ndarray:
@@ -129,10 +131,11 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     x = F.col(vector_col)
     sound = F.expr(f"not exists(`{vector_col}`, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(`{vector_col}`, x -> x <> 0)")
     rows = vectors.filter(F.col(id_col).isNotNull() & x.isNotNull() & sound).select(F.col(id_col).cast("long").alias("id"), x.alias("v"), F.size(x).alias("n"))
-    count, dims = rows.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    # one row, of the most frequent length
+    most = rows.groupBy("n").agg(F.count("*").alias("rows")).agg(F.max(F.struct("rows", "n"))).first()[0]
+    count, dims = most or (0, 0)
     rows = rows.filter(F.col("n") == dims).drop("n")
-    parallel = vectors.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-count // block), min(parallel, -(-count // 2048)))
+    blocks = max(1, -(-count // block), min(SPREAD, -(-count // SMALL)))
     parts = max(1, -(-count // (every * PART)))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
