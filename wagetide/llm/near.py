@@ -2,7 +2,8 @@
 
 A text is its sequence of shingles of five words; a repeated shingle is labelled with its occurrence number. Each of SKETCHES hash
 functions picks the PICK smallest labelled shingles and keeps them in text order; their hash names a bucket. Texts that share much, in
-the same order, share a bucket: at similarity 0.8 all buckets miss with a probability of 0.0002.
+the same order, share a bucket: at similarity 0.8 all buckets miss long texts with a probability of 0.0002, but 8 of 10 common shingles
+with 0.0015 and 4 of 5 with 0.028.
 
 Similarity is that of an alignment: matched shingles / (all shingles of both - matched). Pairs at or above the threshold leave at
 most (n1 + n2) * (1 - t) / (1 + t) shingles unmatched, so matches lie in a band of that width around the diagonal; the longest common
