@@ -1,18 +1,22 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from wagetide import storage
+
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .config("spark.driver.memory", "4g")
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    storage.clear(s)
     s.stop()

@@ -6,9 +6,9 @@ from datetime import date, timedelta
 
 import pytest
 
-from wagetide.operators import review
 from wagetide.plans.engine import Engine, Options
-from wagetide.sources.payloads import from_dicts, read_json, write_results
+from wagetide.operators import features, review, validation
+from wagetide.sources.payloads import RAW, from_dicts, from_json_text, read_json, write_results
 from wagetide.streaming.batches import Detector
 
 from .scenarios import SCENARIOS, made
@@ -103,8 +103,12 @@ def test_review_and_audit(spark, tables, results):
     payload = json.loads(review.payloads(tables.result).filter("analysis_id = 'slips'").first()["payload"])
     review.check_payload(payload)
     assert "description" not in payload["candidate_sets"][0]["transactions"][0] and list(payload) == sorted(payload)
+    assert "features" in engine.audit(tables) and engine.audit(tables)["candidates"].isEmpty()
+    tables = Engine(spark, reviewer=Mock(), options=Options(enable_review=True, review_model="gpt-4o", include_audit=True)).tables(from_dicts(spark, [monthly("a", "ACME PAYROLL", 1, 12), {"analysis_id": "z", "scenario_description": "z", "transactions": []}]))
+    engine.review(tables)
     audit = engine.audit(tables)
-    assert {"validate", "normalise", "feature_extraction"} <= {r["name"] for r in audit["steps"].collect()} and audit["candidates"].count() >= 5
+    assert {"validate", "normalise", "feature_extraction", "llm_fallback"} <= {r["name"] for r in audit["steps"].collect()} and audit["candidates"].count() == 1
+    assert audit["features"].count() == 12 and audit["llm_calls"].count() == 0
 
 
 def test_files_and_streams(spark, tmp_path):
@@ -115,9 +119,9 @@ def test_files_and_streams(spark, tmp_path):
     (tmp_path / "in" / "bad.json").write_text("{not json")
     read = read_json(spark, str(tmp_path / "in"))
     assert [r["analysis_id"] for r in read.collect() if r["_corrupt"]] == [None] and len(read.collect()) == 3
-    from wagetide.operators.validation import exploded
-
-    rows = exploded(read.filter("analysis_id is not null").drop("_corrupt"))
+    got = {r["analysis_id"]: r for r in Engine(spark).detect(read).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"s100": "ok", "s101": "ok", None: "failed"} and "no JSON" in got[None]["error"]
+    rows = validation.exploded(read.filter("not _corrupt"))
     rows.filter("pos < 6").write.parquet(str(tmp_path / "rows" / "a"))
     rows.filter("pos >= 6").write.parquet(str(tmp_path / "rows" / "b"))
     detector = Detector(Engine(spark), str(tmp_path / "store"), str(tmp_path / "results"))
@@ -130,3 +134,65 @@ def test_files_and_streams(spark, tmp_path):
     assert {k: len(r["candidate_sets"][0]["transactions"]) for k, r in got.items()} == {"s100": 12, "s101": 12}
     write_results(detector.latest(), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_refused(spark):
+    """Payloads that share an id, that have none, that are no objects; and types that do not fit."""
+    a = monthly("twice", "ACME PAYROLL", 1, 12)
+    texts = [json.dumps(x) for x in (a, a, monthly("once", "ACME PAYROLL", 1, 12), {k: v for k, v in a.items() if k != "analysis_id"})] + ["[1]", "{bad", "", '{"analysis_id": "odd", "transactions": {"id": 1}, "options": 5}']
+    read = from_json_text(spark.createDataFrame([(t,) for t in texts], "t string"), "t")
+    got = sorted((str(r["analysis_id"]), r["status"], str(r["error"])) for r in Engine(spark).detect(read).collect())
+    assert [x[:2] for x in got] == [("None", "failed")] * 3 + [("odd", "ok"), ("once", "ok"), ("salary_analysis", "ok")] + [("twice", "failed")] * 2
+    assert got[-1][2] == "2 payloads have this analysis_id"
+
+
+def test_contract(spark):
+    bad = {
+        "analysis_id": "", "scenario_description": 5, "colour": 1, "country_region": "Mars", "salary_hints": {"tolerance_pct": 2, "x": 1}, "options": {"enable_llm": "yes"},
+        "transactions": [{"id": "a", "date": "1.1.2024", "amount": "12", "direction": "CREDIT", "description": None, "flag": 1}, 7], "payslip_hints": [{"month": "2024-1"}],
+    }
+    df = from_json_text(spark.createDataFrame([(json.dumps(bad),)], "t string"), "t")
+    found = [(r["detail"], r["transaction_id"]) for r in df.select("*", validation.schema_faults(df).alias("s")).selectExpr("inline(s)").collect()]
+    assert found == [
+        ("[]: unknown property 'colour'", ""), ("['analysis_id']: must not be empty", ""), ("['country_region']: must be one of EnglandAndWales, Scotland, NorthernIreland, UnknownDefaultEnglandAndWales", ""),
+        ("['options', 'enable_llm']: must be boolean", ""), ("['payslip_hints', 0]: 'amount' is missing", ""), (r"['payslip_hints', 0, 'month']: must match ^\d{4}-\d{2}$", ""),
+        ("['salary_hints']: unknown property 'x'", ""), ("['salary_hints', 'tolerance_pct']: must not be above 1", ""), ("['scenario_description']: must be string", ""),
+        ("['transactions', 0]: unknown property 'flag'", "a"), ("['transactions', 0, 'amount']: must be number", "a"), (r"['transactions', 0, 'date']: must match ^\d{4}-\d{2}-\d{2}$", "a"),
+        ("['transactions', 0, 'description']: must be string", "a"), ("['transactions', 0, 'direction']: must be one of credit, debit", "a"), ("['transactions', 1]: must be object", ""),
+    ]
+    assert RAW in df.columns
+
+
+def test_years_beyond_the_usual(spark):
+    """The same payday model whatever the year."""
+    made_ = []
+    for y in (1985, 2023, 2043):
+        a = monthly(f"y{y}", "ACME PAYROLL", 1, 12)
+        for m, t in enumerate(a["transactions"], 1):
+            t["date"] = str((date(y + m // 12, m % 12 + 1, 1)) - timedelta(1))
+        made_.append(a)
+    got = {r["analysis_id"]: r["candidate_sets"][0]["detected_pattern"]["payday_model"] for r in Engine(spark).detect(from_dicts(spark, made_)).collect()}
+    assert set(got.values()) == {"last_calendar_day"}
+
+
+def test_payload_options(spark):
+    """The caller's settings come before the payload's, and those before the defaults."""
+    cases = [monthly("on", "ACME PAYROLL", 1, 3) | {"options": {"enable_llm": True, "include_audit": True, "llm_model": "m"}}, monthly("off", "ACME PAYROLL", 1, 3)]
+    silent = [{"analysis_id": n, "scenario_description": "x", "transactions": [], "options": {"enable_llm": x}} for n, x in (("ask", True), ("skip", False))]
+    plain = Engine(spark, reviewer=Mock())
+    t = plain.tables(from_dicts(spark, cases + silent))
+    meta = {r["analysis_id"]: r["metadata"] for r in t.result.collect()}
+    assert meta["on"]["enable_llm"] and meta["on"]["include_audit"] and meta["on"]["llm_model"] == "m" and not meta["off"]["enable_llm"]
+    assert meta["off"]["return_threshold"] == 0.4 and {r["analysis_id"] for r in plain.audit(t)["features"].collect()} == {"on"}
+    assert "skip" not in {r["analysis_id"] for r in plain.review(t).collect()}
+    over = Engine(spark, options=Options(enable_review=False, include_audit=False, review_model="n")).detect(from_dicts(spark, cases))
+    assert {(r["metadata"]["enable_llm"], r["metadata"]["include_audit"], r["metadata"]["llm_model"]) for r in over.collect()} == {(False, False, "n")}
+
+
+def test_own_extractors(spark):
+    import pyspark.sql.functions as F
+
+    channels = lambda n, t, c: {"channel_match": features.channel(n, c).withField("channel", F.lit("chaps"))}
+    got = Engine(spark, channels=channels, descriptions=lambda n, t, c: {"employers": F.array(F.lit("OWN"))}).detect(from_dicts(spark, [monthly("a", "ACME PAYROLL", 1, 12)])).first()
+    p = got["candidate_sets"][0]["detected_pattern"]
+    assert p["payment_channel"] == "chaps" and p["possible_employer_tokens"] == ["OWN"]

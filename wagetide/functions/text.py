@@ -9,6 +9,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .literals import constant, strings
+
 #: Banking words without an employer's name, codes of payment routes, words of pay roles, legal forms.
 STOP_WORDS = ("REF", "REFERENCE", "PAYMENT", "CREDIT", "ONLINE", "TRANSFER", "TFR")
 CHANNEL_CODES = ("BACS", "BAC", "BGC", "FPI", "FPS", "FP", "CHAPS", "CHP", "CHQ", "CASH", "CDM", "TLR", "STO", "ITL", "IBAN", "SWIFT", "DC", "TFR")
@@ -27,7 +29,7 @@ def _folded() -> tuple[str, str, dict[str, str]]:
             continue
         d = unicodedata.normalize("NFKD", chr(cp))
         s = "".join(c for c in d if not unicodedata.combining(c))
-        if s == chr(cp) or not any(c.isascii() and c.isalnum() for c in s) or cp > 0xFFFF:
+        if s == chr(cp) or not any(c.isascii() and c.isalnum() for c in s):
             continue
         if len(s) == 1:
             one.append(chr(cp))
@@ -37,14 +39,23 @@ def _folded() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(to), several
 
 
+@lru_cache(maxsize=1)
+def _marks() -> str:
+    """A pattern for runs of combining marks, those of combining class 0 left out."""
+    found = [cp for cp in range(128, sys.maxunicode + 1) if unicodedata.combining(chr(cp))]
+    have = set(found)
+    heads, ends = [cp for cp in found if cp - 1 not in have], [cp for cp in found if cp + 1 not in have]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in zip(heads, ends, strict=True)) + "]+"
+
+
 def unaccented(c: Column) -> Column:
     """Compatibility decomposition without combining marks, as far as letters and digits go. ASCII texts are returned at once."""
     one, to, several = _folded()
-    pairs = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
+    pairs = constant(several, "map<string,string>")
     found = "[" + "".join(several) + "]"
     split = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.rlike(found), F.element_at(pairs, x)).otherwise(x)), "")
     wide = F.when(c.rlike(found), split).otherwise(c)
-    return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(F.regexp_replace(F.translate(wide, one, to), r"\p{M}", ""))
+    return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(F.regexp_replace(F.translate(wide, one, to), _marks(), ""))
 
 
 def normalised(c: Column) -> Column:
@@ -59,11 +70,11 @@ def tokens(normal: Column) -> Column:
 
 
 def among(c: Column, words) -> Column:
-    return c.isin(*dict.fromkeys(words))
+    return F.array_contains(strings(dict.fromkeys(words)), c)
 
 
 def skeleton(toks: Column) -> Column:
-    """Tokens without long numbers, stop words and trailing digits."""
+    """Tokens without long numbers, stop words and trailing digits; both patterns are fixed values."""
     kept = F.filter(toks, lambda t: ~t.rlike(r"^\d{4,}$") & ~among(t, STOP_WORDS))
     cut = F.transform(kept, lambda t: F.regexp_replace(t, r"(?<=[A-Z])\d{2,}$", ""))
     s = F.array_join(F.filter(cut, lambda t: (t != "") & ~among(t, STOP_WORDS)), " ")
@@ -110,6 +121,17 @@ def blended_similarity(a: Column, b: Column) -> Column:
     return F.round(0.9 * jaccard(a, b) + 0.1 * sequence_ratio(a, b), 6)
 
 
+def alike(a: Column, b: Column) -> tuple[Column, Column]:
+    """jaccard and sequence_ratio of structs of tokens and kinds (different tokens). Where no token repeats and the common ones stand in
+    one order, their number is all that counts; only other pairs take the table of subsequences."""
+    x, y = a["tokens"], b["tokens"]
+    ab, ba = F.array_intersect(x, y), F.array_intersect(y, x)
+    longest, plain = F.greatest(F.size(x), F.size(y)), (a["kinds"] == F.size(x)) & (b["kinds"] == F.size(y))
+    union = a["kinds"] + b["kinds"] - F.size(ab)
+    order = F.when(x == y, 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(plain & (ab == ba), F.size(ab) / longest).otherwise(lcs_length(x, y) / longest)
+    return F.when(union == 0, 0.0).otherwise(F.size(ab) / union).alias("jaccard"), order.alias("sequence")
+
+
 def common_prefix(a: Column, b: Column) -> Column:
     """Of two strings."""
     k = F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.length(a), F.length(b))), lambda k: F.left(a, k) == F.left(b, k)))

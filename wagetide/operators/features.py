@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text, workdays
+from ..functions.literals import constant, lookup, strings
 from .validation import CURRENCY
 
 #: Lower ends of the amount bands; fixed values.
@@ -15,6 +18,10 @@ PAYROLL_HINTS = ("PAYROLL", "SALARY", "WAGES", "WAGE", "STAFF PAY", "MONTHLY PAY
 STRONG_HINTS = ("PAYROLL", "SALARY", "WAGES", "WAGE")
 
 
+#: A caller's features: (normalised text, tokens, configuration) to columns by name, which replace or join those made here.
+Extractor = Callable[[Column, Column, Config], dict[str, Column]]
+
+
 def normalise(checked: DataFrame) -> DataFrame:
     """Accepted credits: typed columns, normalised text, tokens, skeleton."""
     rows = checked.filter("status is null").select(
@@ -27,10 +34,10 @@ def normalise(checked: DataFrame) -> DataFrame:
 
 def _found(normal: Column, phrases: list[tuple[str, str]]) -> Column:
     """Those of the (kind, phrase) pairs that the text has, in their order."""
-    if not phrases:
-        return F.array().cast("array<struct<kind:string,phrase:string,words:int,ord:int>>")
-    hits = [F.when(text.has_phrase(normal, p), F.struct(F.lit(k).alias("kind"), F.lit(p).alias("phrase"), F.lit(p.count(" ") + 1).alias("words"), F.lit(i).alias("ord"))) for i, (k, p) in enumerate(phrases)]
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+    kind = "array<struct<kind:string,phrase:string,words:int,ord:int,key:string>>"
+    every = constant([{"kind": k, "phrase": p, "words": p.count(" ") + 1, "ord": i, "key": f" {p} "} for i, (k, p) in enumerate(phrases)], kind)
+    padded = F.array(F.concat(F.lit(" "), normal, F.lit(" ")))
+    return F.get(F.transform(padded, lambda t: F.filter(every, lambda p: t.contains(p["key"]))), F.lit(0))
 
 
 def channel(normal: Column, config: Config) -> Column:
@@ -61,8 +68,7 @@ def hint_strengths(found: Column, config: Config) -> Column:
     strengths = {}
     for s, p in config.hint_phrases():
         strengths[p] = s
-    pairs = F.create_map(*[F.lit(x) for kv in strengths.items() for x in kv])
-    return F.map_from_arrays(found, F.transform(found, lambda h: F.element_at(pairs, h)))
+    return F.map_from_arrays(found, F.transform(found, lambda h: lookup(strengths, h)))
 
 
 def employers(toks: Column, found: Column, config: Config) -> Column:
@@ -73,17 +79,17 @@ def employers(toks: Column, found: Column, config: Config) -> Column:
 
 
 def band(amount: Column) -> Column:
-    out = F.lit(BANDS[0][1])
-    for low, name in BANDS[1:]:
-        out = F.when(F.abs(amount) >= low, F.lit(name)).otherwise(out)
-    return out
+    lows = constant([low for low, _ in BANDS], "array<int>")
+    return F.get(strings(n for _, n in BANDS), F.size(F.filter(lows, lambda x: F.abs(amount) >= x)) - 1)
 
 
-def extract(rows: DataFrame, config: Config, region: Column | None = None, overrides: dict | None = None) -> DataFrame:
-    """All features of normalised credits. region: the analysis's calendar, on rows (column region) by default; overrides: dates
-    that the calendar gains and loses."""
+def extract(rows: DataFrame, config: Config, region: Column | None = None, calendar: workdays.Calendar | None = None, channels: Extractor | None = None, descriptions: Extractor | None = None) -> DataFrame:
+    """All features of normalised credits. region: the analysis's region, on rows (column region) by default. Dates in years that the
+    calendar does not have get no flags; Calendar.of finds the years. channels may replace channel_match (a struct like channel()'s),
+    descriptions salary_hints, hint_strengths, negatives, negative_categories and employers."""
     n, t = F.col("normalised"), F.col("tokens")
-    rows = rows.withColumns({"channel_match": channel(n, config), "salary_hints": hints(n, t, config), "_neg": _found(n, config.negative_phrases())})
+    own = {**(channels(n, t, config) if channels else {}), **(descriptions(n, t, config) if descriptions else {})}
+    rows = rows.withColumns({"channel_match": own.pop("channel_match") if "channel_match" in own else channel(n, config), "salary_hints": own.pop("salary_hints") if "salary_hints" in own else hints(n, t, config), "_neg": _found(n, config.negative_phrases())})
     rows = rows.withColumns({
         "channel": F.col("channel_match.channel"),
         "hint_strengths": hint_strengths(F.col("salary_hints"), config),
@@ -96,8 +102,9 @@ def extract(rows: DataFrame, config: Config, region: Column | None = None, overr
         "day": F.dayofmonth("date"),
         "weekday": F.weekday("date"),
         "is_month_end": F.last_day("date") == F.col("date"),
+        **own,
     }).drop("_neg")
-    days, months = workdays.calendar(rows.sparkSession, overrides)
+    days, months = workdays.frames(rows.sparkSession, calendar)
     rows = rows.withColumn("_region", workdays.region(region if region is not None else F.col("region")))
     days = days.select(F.col("region").alias("_region"), F.col("d").alias("date"), F.col("adjacent").alias("_adjacent"))
     months = months.select(F.col("region").alias("_region"), "month", "last_working", "first_working")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import AMOUNT
 from .validation import parsed_amount
 
 TOLERANCE = 0.20
@@ -33,7 +34,7 @@ def unmatched_warnings(missed: DataFrame, found: DataFrame) -> DataFrame:
     some = found.select("analysis_id").distinct()
     return missed.join(some, "analysis_id", "left_semi").select(
         "analysis_id", F.lit(3).alias("stage"), F.col("hint_pos").cast("long").alias("seq"), F.lit("hint_unmatched").alias("code"), F.lit("").alias("transaction_id"),
-        F.concat(F.lit("payslip hint '"), "hint_id", F.lit("' did not match any credit")).alias("detail"),
+        F.concat(F.lit("no credit has the month and amount of payslip hint '"), "hint_id", F.lit("'")).alias("detail"),
     )
 
 
@@ -44,19 +45,19 @@ def flagged(credits: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumns({"is_anchor": F.col("n_anchors").isNotNull(), "n_anchors": F.coalesce("n_anchors", F.lit(0))})
 
 
-def expected(monthly: Column, yearly: Column, tolerance: Column) -> Column:
-    """Struct of the expected monthly amount and its band, null without hints."""
-    e = F.coalesce(monthly.cast("double"), yearly.cast("double") / 12)
-    t = F.coalesce(tolerance, F.lit(TOLERANCE))
-    return F.when(e.isNotNull(), F.struct(e.alias("monthly"), (e * (1 - t)).alias("lower"), (e * (1 + t)).alias("upper")))
+def expected(monthly: str, yearly: str, tolerance: str) -> str:
+    """SQL of a struct of the expected monthly amount and its band, null without hints."""
+    e, t = f"coalesce(cast({monthly} as double), cast({yearly} as double) / 12)", f"coalesce({tolerance}, {TOLERANCE}D)"
+    return f"if({e} is null, null, named_struct('monthly', {e}, 'lower', {e} * (1 - {t}), 'upper', {e} * (1 + {t})))"
 
 
-def band_of(analyses: DataFrame) -> DataFrame:
-    s = F.col("salary_hints")
-    return analyses.select("analysis_id", expected(parsed_amount(s["approx_monthly"]), parsed_amount(s["approx_yearly"]), s["tolerance_pct"]).alias("band"))
+def band() -> Column:
+    """The band of an analysis, from its salary_hints."""
+    number = lambda f, kind=AMOUNT: f"try_cast(salary_hints.{f} as {kind})"
+    return F.expr(expected(number("approx_monthly"), number("approx_yearly"), number("tolerance_pct", "double"))).alias("band")
 
 
-def modifier(median: Column, b: Column) -> Column:
-    """1 inside the band or without one; outside it falls to a half over one expected amount."""
-    out = F.greatest(b["lower"] - median, median - b["upper"], F.lit(0.0))
-    return F.when(b.isNull() | (out <= 0), 1.0).otherwise(F.greatest(F.lit(0.5), F.least(F.lit(1.0), 1 - 0.5 * out / F.when(b["monthly"] != 0, b["monthly"]))))
+def modifier(median: str, band: str) -> str:
+    """SQL: 1 inside the band or without one; outside it falls to a half over one expected amount."""
+    out = f"greatest({band}.lower - {median}, {median} - {band}.upper, 0D)"
+    return f"if({band} is null or {out} <= 0, 1D, greatest(0.5D, least(1D, 1 - 0.5D * {out} / nullif({band}.monthly, 0D))))"

@@ -174,7 +174,9 @@ CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.70 THEN 'medium_hi
     "v_warning_counts": f"WITH {_DIRTY} SELECT status AS code, count(*)::bigint AS n, count(DISTINCT analysis_id)::bigint AS analyses FROM st WHERE status <> 'accepted' GROUP BY ALL",
     "v_descriptions": f"WITH {_DIRTY} SELECT description AS text, count(*)::bigint AS n FROM st WHERE status = 'accepted' GROUP BY ALL HAVING text = '__EMPTY__' OR n > 1",
     "v_descriptions_all": f"WITH {_DIRTY} SELECT description AS text, count(*)::bigint AS n FROM st WHERE status = 'accepted' GROUP BY ALL",
-    "v_schema_violations": f"WITH {_DIRTY} SELECT analysis_id, id AS transaction_id, 'direction' AS field, 'schema_violation' AS code FROM dirty WHERE pos % 3 = 0 OR direction IS NULL",
+    "v_schema_violations": f"""WITH {_DIRTY}, w AS (SELECT o.analysis_id, o.pos, d.id, CASE WHEN o.pos % 3 = 0 OR o.k % 23 <> 0 AND o.k % 29 = 0 THEN NULL WHEN o.k % 23 = 0 THEN 'sideways' WHEN o.k % 19 = 0 THEN 'CR' ELSE o.direction END AS direction FROM orow o JOIN dirty d USING (k)),
+f AS (SELECT analysis_id, id, pos, 1 AS kind FROM w WHERE direction IS NULL UNION ALL SELECT analysis_id, id, pos, 2 FROM w WHERE pos % 5 = 0 UNION ALL SELECT analysis_id, id, pos, 3 FROM w WHERE direction NOT IN ('credit', 'debit'))
+SELECT analysis_id, id AS transaction_id, '[''transactions'', ' || pos || CASE kind WHEN 1 THEN ']: ''direction'' is missing' WHEN 2 THEN ']: unknown property ''source_bank''' ELSE ', ''direction'']: must be one of credit, debit' END AS detail, count(*)::bigint AS n FROM f GROUP BY ALL""",
     "n_normalised": f"WITH {ORDERS}, {_normal('orow')} SELECT analysis_id, id, normalised, array_to_string(tokens, '|') AS tokens, skeleton FROM n",
     "n_token_counts": r"""WITH d AS (SELECT regexp_replace(regexp_replace(upper(text), '\bPUBLIC LIMITED COMPANY\b', 'PLC', 'g'), '\bLIMITED\b', 'LTD', 'g') AS t FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')),
 t AS (SELECT unnest(string_split(trim(regexp_replace(regexp_replace(t, '[^A-Z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')), ' ')) AS token FROM d)
@@ -187,7 +189,7 @@ SELECT token, count(*)::bigint AS n FROM t WHERE token <> '' GROUP BY ALL""",
  m.last_working = date AS is_last_working_day, m.first_working = date AS is_first_working_day, c.adjacent AS is_holiday_adjacent
  FROM orow JOIN cal c ON c.d = date AND c.region = 'EnglandAndWales' JOIN mon m ON m.month = date_trunc('month', date) AND m.region = 'EnglandAndWales' WHERE direction = 'credit'""",
     "h_anchors": f"WITH {ORDERS}, {_SLIPS} SELECT analysis_id, hint_id, transaction_id, month, amount::double AS amount, ambiguous FROM hit",
-    "h_unmatched": f"WITH {ORDERS}, {_SLIPS} SELECT analysis_id, 'payslip hint ''' || hint_id || ''' did not match any credit' AS detail FROM slip WHERE hint_id NOT IN (SELECT hint_id FROM hit) AND analysis_id IN (SELECT analysis_id FROM hit)",
+    "h_unmatched": f"WITH {ORDERS}, {_SLIPS} SELECT analysis_id, 'no credit has the month and amount of payslip hint ''' || hint_id || '''' AS detail FROM slip WHERE hint_id NOT IN (SELECT hint_id FROM hit) AND analysis_id IN (SELECT analysis_id FROM hit)",
     "h_band_modifier": """WITH b AS (SELECT c_custkey, abs(c_acctbal) AS m, CASE WHEN c_custkey % 2 = 0 THEN 4000.0::double WHEN c_custkey % 3 = 0 THEN 60000.0::double / 12 END AS e, CASE WHEN c_custkey % 5 = 0 THEN 0.1::double ELSE 0.2::double END AS t FROM customer),
 x AS (SELECT *, e * (1 - t) AS lo, e * (1 + t) AS hi FROM b)
 SELECT c_custkey, round(lo, 4) AS lower, round(hi, 4) AS upper, round(CASE WHEN e IS NULL OR m BETWEEN lo AND hi THEN 1.0::double ELSE greatest(0.5::double, 1 - 0.5::double * greatest(lo - m, m - hi) / e) END, 9) AS modifier FROM x""",

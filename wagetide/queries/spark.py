@@ -48,7 +48,7 @@ def _credits(spark: SparkSession, sf_dir: str, kind: str = "orders") -> DataFram
     rows = {"orders": tables.order_rows, "payroll": tables.payroll_rows, "events": tables.event_rows}[kind](spark, sf_dir)
     normal = features.normalise(validation.checked(_padded(rows)))
     out = features.extract(normal.withColumn("region", F.lit(DEFAULT_REGION)), CONFIG)
-    return out.withColumns({"band": hints.expected(F.lit(None), F.lit(None), F.lit(None)), "is_anchor": F.lit(False), "n_anchors": F.lit(0).cast("long")})
+    return out.withColumns({"band": F.expr(hints.expected("null", "null", "null")), "is_anchor": F.lit(False), "n_anchors": F.lit(0).cast("long")})
 
 
 def _slips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +94,9 @@ def v_descriptions_all(spark, sf_dir):
 @query
 def v_schema_violations(spark, sf_dir):
     r = _dirty_orders(spark, sf_dir).withColumn("direction", F.when(F.col("pos") % 3 == 0, F.lit(None)).otherwise(F.col("direction")))
-    a = payloads.from_rows(r).withColumn("scenario_description", F.lit("x"))
-    w = validation.schema_warnings(a)
-    return w.select("analysis_id", "transaction_id", F.regexp_extract("detail", "'([a-z_]+)' is a required", 1).alias("field"), F.col("code")).filter("field <> ''")
+    r = r.withColumn("source_bank", F.when(F.col("pos") % 5 == 0, "bank"))
+    w = r.select("analysis_id", F.col("id").alias("transaction_id"), F.explode(validation.row_faults()).alias("detail"))
+    return w.groupBy("analysis_id", "transaction_id", "detail").agg(F.count("*").alias("n"))
 
 
 # text -------------------------------------------------------------------------------------------------------------------
@@ -153,14 +153,14 @@ def n_common_prefix(spark, sf_dir):
 
 @query
 def c_working_days(spark, sf_dir):
-    days, _ = workdays.calendar(spark)
+    days, _ = workdays.frames(spark)
     o = tables.read(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
     return o.join(days.filter(F.col("region") == DEFAULT_REGION), "d").select("o_orderkey", "d", "working", "prev", "next", "nearest", "adjacent")
 
 
 @query
 def c_month_ends(spark, sf_dir):
-    _, months = workdays.calendar(spark)
+    _, months = workdays.frames(spark)
     o = tables.read(spark, sf_dir, "orders").select(F.trunc("o_orderdate", "MM").alias("month")).groupBy("month").agg(F.count("*").alias("orders"))
     return o.join(months, "month").select("region", "month", "last_day", "last_working", "first_working", "orders")
 
@@ -207,9 +207,9 @@ def h_unmatched(spark, sf_dir):
 @query
 def h_band_modifier(spark, sf_dir):
     c = tables.read(spark, sf_dir, "customer").select("c_custkey", F.abs("c_acctbal").alias("m"))
-    b = hints.expected(F.when(F.col("c_custkey") % 2 == 0, F.lit(4000.0)), F.when(F.col("c_custkey") % 3 == 0, F.lit(60000.0)), F.when(F.col("c_custkey") % 5 == 0, F.lit(0.1)))
-    c = c.withColumn("b", b)
-    return c.select("c_custkey", F.round(F.col("b.lower"), 4).alias("lower"), F.round(F.col("b.upper"), 4).alias("upper"), F.round(hints.modifier(F.col("m"), F.col("b")), 9).alias("modifier"))
+    b = hints.expected("if(c_custkey % 2 = 0, 4000D, null)", "if(c_custkey % 3 = 0, 60000D, null)", "if(c_custkey % 5 = 0, 0.1D, null)")
+    c = c.selectExpr("*", f"{b} as b")
+    return c.selectExpr("c_custkey", "round(b.lower, 4) as lower", "round(b.upper, 4) as upper", f"round({hints.modifier('m', 'b')}, 9) as modifier")
 
 
 # groups and graph -------------------------------------------------------------------------------------------------------
@@ -247,21 +247,21 @@ def e_description(spark, sf_dir):
 def _assembled(spark, sf_dir, kind):
     c = staged(_credits(spark, sf_dir, kind), "credits")
     g = grouping.plausibility(grouping.groups(c), CONFIG)
-    marks = g.select("analysis_id", "skeleton", F.col("idx").alias("sk_idx"), F.col("final").alias("sk_final"), F.col("emitted").alias("sk_emitted"), grouping.reasoning().alias("sk_reason"))
-    edges = graph.edges(graph.pairs(graph.blocks(c)), CONFIG)
-    return pool.assembled(c.join(marks, ["analysis_id", "skeleton"], "left"), edges, CONFIG), c
+    return pool.assembled(c, g, graph.edges(graph.pairs(graph.blocks(c)), CONFIG), CONFIG), c
 
 
 @query
 def d_pool(spark, sf_dir):
-    m, _ = _assembled(spark, sf_dir, "orders")
-    return m.groupBy("analysis_id", "cid", "source").agg(F.count("*").alias("n"), F.max("prior").alias("prior"), F.max("channel").alias("channel"))
+    m, c = _assembled(spark, sf_dir, "orders")
+    ids = joined(F.transform("p", lambda x: x["id"]))
+    return pool.with_credits(m, c).select("analysis_id", "cid", "source", F.size("p").alias("n"), "prior", "channel", joined(F.col("employers")).alias("employers"), joined(F.coalesce("merged_sources", F.array("source"))).alias("sources"), "coverage", ids.alias("ids"))
 
 
 @query
 def b_unaccounted(spark, sf_dir):
     m, c = _assembled(spark, sf_dir, "orders")
-    left = c.join(m.filter(F.col("source") != pool.FALLBACK), ["analysis_id", "pos"], "left_anti")
+    taken = pool.members(pool.with_credits(m.filter(F.col("source") != pool.FALLBACK), c)).select("analysis_id", "pos")
+    left = c.join(taken, ["analysis_id", "pos"], "left_anti")
     return left.groupBy("analysis_id").agg(F.count("*").alias("n"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("decimal(18,2)").alias("total"))
 
 
@@ -276,7 +276,7 @@ def _series(spark, sf_dir):
 
 @query
 def a_stats(spark, sf_dir):
-    s = _series(spark, sf_dir).withColumn("st", amounts.stats(F.col("amounts")))
+    s = amounts.with_stats(_series(spark, sf_dir), "amounts", "st")
     return s.select("analysis_id", *[F.col(f"st.{c}").alias(c) for c in ("count", "mean", "median", "min", "max", "cv", "mad")])
 
 
@@ -288,7 +288,7 @@ def a_regimes(spark, sf_dir):
 
 @query
 def r_monthly(spark, sf_dir):
-    s = _series(spark, sf_dir).withColumn("n", recurrence.most_common(F.col("days")))
+    s = _series(spark, sf_dir).selectExpr("*", f"{recurrence.most_common('days')} as n")
     m = recurrence.monthly(s, ["analysis_id", "cid"], list(REGIONS))
     each = F.explode(F.array(*[F.struct(F.lit(x).alias("model"), F.col(x).alias("f")) for x in recurrence.MONTHLY])).alias("e")
     return m.select("analysis_id", "region", joined(F.col("missing")).alias("missing"), each).select("analysis_id", "region", "missing", F.col("e.model").alias("model"), F.col("e.f.fit").alias("fit"), F.col("e.f.coverage").alias("coverage"), F.col("e.f.deviation").alias("deviation"), F.col("e.f.matched").alias("matched"), F.col("e.f.expected").alias("expected"))
@@ -296,8 +296,8 @@ def r_monthly(spark, sf_dir):
 
 @query
 def r_periodic(spark, sf_dir):
-    s = _series(spark, sf_dir)
-    each = F.explode(F.array(*[F.struct(F.lit(p).alias("period"), recurrence.periodic(F.col("dates"), p).alias("f")) for p in recurrence.PERIODS.values()])).alias("e")
+    s = recurrence.with_periods(_series(spark, sf_dir))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("period"), F.col(m).alias("f")) for m, p in recurrence.PERIODS.items()])).alias("e")
     return s.select("analysis_id", each).select("analysis_id", F.col("e.period").alias("period"), F.col("e.f.fit").alias("fit"), F.col("e.f.coverage").alias("coverage"), F.col("e.f.deviation").alias("deviation"), F.col("e.f.expected").alias("expected"))
 
 
@@ -315,7 +315,7 @@ def _detected(spark, sf_dir, kind="payroll"):
     about = tables.customer_regions(spark, sf_dir).withColumn("scenario_description", F.lit("adapter"))
     if kind == "payroll":  # every third analysis leaves its region open
         about = about.withColumn("country_region", F.when(F.col("analysis_id").cast("long") % 3 != 0, F.col("country_region")))
-    return Engine(spark).tables(payloads.from_rows(rows, about))
+    return Engine(spark).tables(payloads.of_rows(rows, about))
 
 
 @query
@@ -346,7 +346,7 @@ def l_transitions(spark, sf_dir):
 @query
 def z_ranked(spark, sf_dir):
     c = linking.ranked(_spans(spark, sf_dir), 0.40, 2, 2)
-    return c.select("analysis_id", "cid", "confidence", "rank", F.coalesce("placed", F.lit("none")).alias("placed"), scoring.band(F.col("confidence")).alias("band"))
+    return c.select("analysis_id", "cid", "confidence", "rank", F.coalesce("placed", F.lit("none")).alias("placed"), F.expr(scoring.band("confidence")).alias("band"))
 
 
 @query
