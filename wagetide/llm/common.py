@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,36 +11,28 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_path, staged
+
 MULT = np.uint64(0x9E3779B97F4A7C15)
 #: A byte that separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 WORD = r"[^\x20\x09-\x0D]+"
+__all__ = ["IS_SPACE", "MULT", "WORD", "Rolling", "csr", "fresh", "gather", "mix", "packed", "pieces", "powers", "shared_path", "staged", "table", "text_buffer", "text_of", "unpacked", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; where it is unset (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: later uses neither recompute it nor depend on an executor that may be lost."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column has it."""
+    out = []
+    for n in names:
+        while n.lower() in {c.lower() for c in (*columns, *out)}:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def text_of(col: str = "text"):

@@ -1,11 +1,15 @@
 """Document fingerprints: invertible Bloom lookup tables over paragraphs.
 
-A paragraph is a run of words that ends with a line, or with a word whose hash is divisible by EVERY, so that an edit changes only the
-paragraphs that it touches. Its digest is hashed into one cell of each of PARTS parts of a table; a cell holds how many digests it got,
-their sum and the sum of their check values. Tables of two texts subtract cell by cell, which leaves the digests in which they differ;
-cells that hold one digest give it up, it is taken out of its other cells, and so on until all cells are empty. If that fails, both
-tables are made again twice as large. The likeness of two texts is (all digests - differing ones) / (all + differing ones), that is,
-shared digests doubled, by all digests that are in one text or the other, doubled.
+A paragraph is a run of words that ends where a word's hash says so, so that an edit changes only the paragraphs that it touches: one
+word in four ends one, and every line end, up to the 64th word; from there to the 256th half as many, and half as many again each time
+that the place is four times as far. So a table grows with the square root of the text. A paragraph's digest is hashed into one cell of
+each of PARTS parts of a table; a cell holds how many digests it got, their sum and the sum of their check values. Tables of two texts
+subtract cell by cell, which leaves the digests in which they differ; cells that hold one digest give it up, it is taken out of its
+other cells, and so on until all cells are empty. If that fails, both tables are made again twice as large.
+
+A fingerprint is the smallest such table that gives up all of its own text's digests. So two fingerprints of whatever size tell exactly
+in which digests their texts differ, and compared() finds from them alone the likeness that is returned: (all digests - differing
+ones) / (all + differing ones), that is, shared digests doubled, by all digests that are in one text or the other, doubled.
 
 The next document is that of the next smaller id (after the last: the first); rows are dealt out by ranges of the id, and each range
 also gets the first row of the following one. Null text counts as empty. Rows with a null id come last. Rows of one id follow in the
@@ -19,17 +23,17 @@ import base64
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import Rolling, csr, mix, text_of, words
+from .common import Rolling, csr, gather, mix, text_of, words
 from .near import labelled
 
-CELLS, PARTS, EVERY = 24, 3, 4
-#: Ranges of ids at most, and rows sampled for each range to place its bounds.
-RANGES, SAMPLED = 1024, 20
+CELLS, PARTS, EVERY, NEAR = 24, 3, 4, 64
+#: Bytes of a range of ids, and keys sampled for each range to place its bounds: what the driver holds is 320 bytes for each of them.
+RANGE, SAMPLED = 1 << 30, 20
 PIECE = 1 << 20
 NO_ID = -(1 << 63)
 
@@ -40,8 +44,11 @@ def paragraphs(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     roll, lines = Rolling(buf), np.r_[0, np.cumsum(buf == 10)]
-    last = roll.of(start, end) % np.uint64(EVERY) == 0
-    last[:-1] |= lines[start[1:]] > lines[end[:-1]]
+    place = np.arange(len(start)) - np.repeat(row[:-1], np.diff(row))
+    coarse = (np.uint64(1) << (np.maximum(0, np.log2(np.maximum(place, 1) / (NEAR / 4)) // 2)).astype(np.uint64)) - np.uint64(1)
+    h = roll.of(start, end)
+    last = (h & (coarse * np.uint64(EVERY) + np.uint64(EVERY - 1))) == 0
+    last[:-1] |= (lines[start[1:]] > lines[end[:-1]]) & ((h[:-1] & coarse[:-1]) == 0)
     last[row[1:][np.diff(row) > 0] - 1] = True
     stop = np.flatnonzero(last)
     begin = np.r_[0, stop[:-1] + 1]
@@ -81,6 +88,9 @@ class Sketches:
         out.count, out.key, out.check = self.count - other.count, self.key - other.key, self.check - other.check
         return out
 
+    def copy(self) -> Sketches:
+        return self.minus(Sketches(len(self.count) // self.size, self.size))
+
     def peel(self) -> tuple[np.ndarray, np.ndarray]:
         """Digests recovered of each row, and whether they are all. Empties the tables as far as it can."""
         n = len(self.count) // self.size
@@ -106,21 +116,62 @@ class Sketches:
         left = (self.count != 0) | (self.key != 0) | (self.check != 0)
         return found, ~left.reshape(n, self.size).any(1)
 
-    def strings(self) -> list[str]:
-        cell = np.empty(len(self.count), np.dtype([("n", "<i4"), ("x", "<u8"), ("c", "<u4")]))
-        cell["n"], cell["x"], cell["c"] = self.count, self.key, self.check & np.uint64(0xFFFFFFFF)
-        raw, width = cell.tobytes(), self.size * cell.itemsize
-        return [base64.b64encode(raw[i : i + width]).decode() for i in range(0, len(raw), width)]
+    def row(self, i: int) -> str:
+        """A row's table as text: its cells' counts, sums, and 32 bits of their check values."""
+        at = slice(i * self.size, (i + 1) * self.size)
+        cell = np.empty(self.size, _CELL)
+        cell["n"], cell["x"], cell["c"] = self.count[at], self.key[at], self.check[at] & _LOW
+        return base64.b64encode(cell.tobytes()).decode()
+
+
+_LOW = np.uint64(0xFFFFFFFF)
+_CELL = np.dtype([("n", "<i2"), ("x", "<u8"), ("c", "<u4")])
+
+
+def fingerprint(x: np.ndarray, off: np.ndarray, size: int = CELLS) -> list[str]:
+    """Each row's digests in the smallest table that gives them all up again."""
+    out, rows = [""] * (len(off) - 1), np.arange(len(off) - 1)
+    while len(rows):
+        part, at = gather(x, off, rows)
+        made = Sketches.of(part, at, size)
+        whole = made.copy().peel()[1]
+        for i in np.flatnonzero(whole):
+            out[rows[i]] = made.row(i)
+        rows, size = rows[~whole], size + max(PARTS, size // (2 * PARTS) * PARTS)
+    return out
+
+
+def digests(text: str) -> np.ndarray:
+    """A fingerprint's digests, peeled out of it."""
+    cell = np.frombuffer(base64.b64decode(text), _CELL)
+    n, x, c = cell["n"].astype(np.int64), cell["x"].copy(), cell["c"].astype(np.uint64)
+    found = []
+    while len(at := np.flatnonzero((n == 1) & ((mix(x) & _LOW) == c))):
+        d = np.unique(x[at])
+        found.append(d)
+        for where in _cells(d, len(cell)):
+            np.subtract.at(n, where, 1)
+            np.subtract.at(x, where, d)
+            np.subtract.at(c, where, mix(d) & _LOW)
+        c &= _LOW
+    if n.any():
+        raise ValueError("this is no fingerprint")
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def compared(a: str, b: str) -> float:
+    """Likeness of two fingerprints, from them alone."""
+    x, y = digests(a), digests(b)
+    both = len(np.intersect1d(x, y))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
 def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], size: int = CELLS) -> np.ndarray:
     """How many digests each row of a and b (digests, offsets) differ in, by tables as large as need be."""
-    (xa, oa), (xb, ob) = a, b
-    n = len(oa) - 1
+    n = len(a[1]) - 1
     out, rows = np.zeros(n, np.int64), np.arange(n)
     while len(rows):
-        take = lambda x, off: (np.concatenate([x[off[r] : off[r + 1]] for r in rows]), np.r_[0, np.cumsum(off[rows + 1] - off[rows])])
-        found, whole = Sketches.of(*take(xa, oa), size).minus(Sketches.of(*take(xb, ob), size)).peel()
+        found, whole = Sketches.of(*gather(*a, rows), size).minus(Sketches.of(*gather(*b, rows), size)).peel()
         out[rows[whole]] = found[whole]
         rows, size = rows[~whole], size * 2
     return out
@@ -149,12 +200,11 @@ def _stream(size: int):
         changed = [edited(texts[i], texts[i + 1]).encode() for i in pairs]
         own, new = paragraphs(*csr([t.encode() for t in texts])), paragraphs(*csr(changed))
         at = np.array(pairs, np.int64)
-        part = lambda at: (np.concatenate([own[0][own[1][i] : own[1][i + 1]] for i in at] or [own[0][:0]]), np.r_[0, np.cumsum(own[1][at + 1] - own[1][at])])
-        mine, following = part(at), part(at + 1)
+        mine, following = gather(*own, at), gather(*own, at + 1)
         return pa.RecordBatch.from_pydict({
             "doc_id": pa.array([held[i][0] for i in pairs], pa.int64()), "n_chars": pa.array([len(texts[i]) for i in pairs], pa.int64()),
             "edited_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in changed], pa.string()),
-            "fingerprint": pa.array(Sketches.of(*mine, size).strings(), pa.string()), "edited_fingerprint": pa.array(Sketches.of(*new, size).strings(), pa.string()),
+            "fingerprint": pa.array(fingerprint(*mine, size), pa.string()), "edited_fingerprint": pa.array(fingerprint(*new, size), pa.string()),
             "near_edited": pa.array(likeness(mine, new, size)), "near_next": pa.array(likeness(mine, following, size)),
         })
 
@@ -172,18 +222,37 @@ def _stream(size: int):
     return run
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CELLS) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row."""
+def _range(bounds: list[tuple[int, int]]):
+    """The range of each key (z, k) among sorted bounds, counted downwards: how many bounds are larger."""
+    bz, bk = (np.array([b[i] for b in bounds], np.int64) for i in range(2))
+
+    @F.pandas_udf("int")
+    def find(z: pd.Series, k: pd.Series) -> pd.Series:
+        z, k = z.to_numpy(), k.to_numpy()
+        lo, hi = np.searchsorted(bz, z, "left"), np.searchsorted(bz, z, "right")
+        # among bounds of the same id the second part decides
+        for v in np.unique(z[lo < hi]):
+            own = z == v
+            a, b = lo[own][0], hi[own][0]
+            hi[own] = a + np.searchsorted(bk[a:b], k[own], "right")
+        return pd.Series((len(bz) - hi).astype(np.int32))
+
+    return find
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CELLS, most: int = RANGE) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row. most: bytes of a range."""
     spark = docs.sparkSession
-    text = text_of(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("z"), F.xxhash64(text).alias("k"))
-    n, count = min(RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))), docs.count()
-    # at most about RANGES * SAMPLED keys come to the driver; they only balance the ranges
-    some = rows.select("z", "k").sample(min(1.0, n * SAMPLED / max(1, count)), 1).orderBy("z", "k").limit(4 * RANGES * SAMPLED).collect()
+    text, id_ = text_of(f"`{text_col}`"), F.col(f"`{id_col}`").cast("long")
+    rows = docs.select(id_.alias("id"), text.alias("t"), F.coalesce(id_, F.lit(NO_ID)).alias("z"), F.xxhash64(text).alias("k"))
+    weight = F.octet_length("t") + 64
+    total = rows.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // most))
+    # a long text counts for its bytes, so that ranges hold about the same; the sample balances them and changes no result
+    some = rows.filter(F.rand(1) < weight * (n * SAMPLED / max(1, total))).select("z", "k").orderBy("z", "k").collect()
     bounds = sorted({tuple(some[i * len(some) // n]) for i in range(1, n)}) if some else []
-    key = T.ArrayType(T.StructType([T.StructField("z", T.LongType()), T.StructField("k", T.LongType())]))
-    literal = F.from_json(F.lit("[" + ",".join(f'{{"z":{z},"k":{k}}}' for z, k in bounds) + "]"), key)
-    rows = rows.withColumn("b", F.size(F.filter(literal, lambda x: x > F.struct("z", "k"))))
+    rows = rows.withColumn("b", _range(bounds)("z", "k"))
+    # one row a range
     tops = sorted(tuple(r) for r in rows.groupBy("b").agg(F.max(F.struct("z", "k")).alias("x")).select("b", "x.z", "x.k").collect())
     first = [(tops[i][0], *tops[(i + 1) % len(tops)][1:]) for i in range(len(tops))]
     halo = F.broadcast(spark.createDataFrame(first, "hb int, hz long, hk long"))
