@@ -1,9 +1,9 @@
 """Sharding by fixed virtual slots.
 
-A record hashes into one of N_SLOTS virtual slots by its id alone (a null id by its text's checksum). Bytes are summed per slot,
-and a versioned map gives each slot a shard: heaviest slot first to the lightest shard. Rebalancing edits the last version: slots
-leave shards above the tolerance, or all shards in proportion when one is added, and all others stay. A map has N_SLOTS rows at
-most, whatever the data's size, so the driver plans it and every executor may hold it.
+A record hashes into one of N_SLOTS virtual slots by its id and its text's checksum, so rows of one id are spread, and only rows equal
+in both share a slot. Bytes are summed per slot, and a versioned map gives each slot a shard: heaviest slot first to the lightest shard.
+Rebalancing edits the last version: slots leave shards above the tolerance, or all shards in proportion when one is added, and all
+others stay. A map has N_SLOTS rows at most, whatever the data's size, so the driver plans it and every executor may hold it.
 
 Null text counts as no bytes, each record one byte more. Repeated rows are records of their own; other columns are ignored. An
 empty table gives an empty result.
@@ -23,11 +23,12 @@ N_SLOTS = 4096
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot."""
-    text = text_of(text_col)
+    text = text_of(f"`{text_col}`")
     crc = F.crc32(text.cast("binary"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), crc.alias("text_crc32"))
-    key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_crc32")))
-    return rows.withColumn("virtual_slot", F.pmod(key, F.lit(n_slots)).cast("int"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), crc.alias("text_crc32"))
+    # a digest that other engines have too: its first 32 bits
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_crc32").cast("binary"))
+    return rows.withColumn("virtual_slot", (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % n_slots).cast("int"))
 
 
 def plan(sizes: dict[int, int], n_shards: int, previous: dict[int, int] | None = None, tolerance: float = 0.02) -> dict[int, int]:
@@ -85,6 +86,24 @@ def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(slot_map), "virtual_slot").withColumn("slot", F.col("rows_before") + F.col("_n"))
 
 
+def grow(spark: SparkSession, path: str, version: int, n_shards: int, sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    """Edits that version of the map for n_shards, stores the next one and returns it."""
+    previous = {r["virtual_slot"]: r["shard"] for r in load(spark, path, version).select("virtual_slot", "shard").collect()}
+    store(spark, path, version + 1, plan({k: v[0] for k, v in sizes.items()}, n_shards, previous), sizes)
+    return load(spark, path, version + 1)
+
+
+def shard_and_grow(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS, path: str | None = None) -> DataFrame:
+    """shard(), and next_shard: where each record goes when the stored map is edited for one shard more, as version 2."""
+    spark, rows = docs.sparkSession, records(docs, id_col, text_col, n_slots)
+    sizes = slot_sizes(rows)
+    path = path or shared_path(spark, "slot-map")
+    store(spark, path, 1, plan({k: v[0] for k, v in sizes.items()}, n_shards), sizes)
+    after = grow(spark, path, 1, n_shards + 1, sizes).select(F.col("virtual_slot").alias("_v"), F.col("shard").alias("next_shard"))
+    both = load(spark, path, 1).join(after, F.col("virtual_slot") == F.col("_v")).drop("_v")
+    return assign(rows, both).withColumn("map_version", F.lit(1))
+
+
 def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS, path: str | None = None) -> DataFrame:
     """Stores the first version of a map under path and applies it."""
     spark, rows = docs.sparkSession, records(docs, id_col, text_col, n_slots)
@@ -110,7 +129,4 @@ def rebalance(docs: DataFrame, path: str, n_shards: int, id_col: str = "doc_id",
     known = versions(spark, path)
     if not known:
         raise ValueError(f"no version of a slot map in {path}")
-    previous = {r["virtual_slot"]: r["shard"] for r in load(spark, path, known[-1]).select("virtual_slot", "shard").collect()}
-    sizes, version = slot_sizes(rows), known[-1] + 1
-    store(spark, path, version, plan({k: v[0] for k, v in sizes.items()}, n_shards, previous), sizes)
-    return assign(rows, load(spark, path, version)).withColumn("map_version", F.lit(version))
+    return assign(rows, grow(spark, path, known[-1], n_shards, slot_sizes(rows))).withColumn("map_version", F.lit(known[-1] + 1))
