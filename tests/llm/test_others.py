@@ -5,7 +5,6 @@ import duckdb
 import numpy as np
 import pytest
 
-import corpus_pipeline
 from wagetide.llm import ann, chat, lm, quality, sketches
 from wagetide.llm.queries import ORACLES
 
@@ -25,6 +24,29 @@ def test_quality_on_held_out_rows(spark):
     assert quality.classify(empty, labels).count() == 3 and quality.classify(empty.limit(0), labels.limit(0)).count() == 0
 
 
+def test_quality_tables_by_hand():
+    """A score is the logistic of the intercept and one entry of each table."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(500, 4))
+    m = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float))
+    for row, s in zip(x[:40], m.score(x[:40]), strict=True):
+        total = m.base + sum(t[sum(c <= v for c in cut)] for cut, t, v in zip(m.cuts, m.tables, row, strict=True))
+        total += sum(t[sum(c <= row[a] for c in m.coarse[a]), sum(c <= row[b] for c in m.coarse[b])] for (a, b), t in m.pairs.items())
+        assert s == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_quality_driver_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(i % 7, f"words {i % 3} and more") for i in range(700)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)] * 3, "doc_id long, quality int")
+    seen = []
+    own, quality.fit = quality.fit, lambda x, y: seen.append(len(y)) or own(x, y)
+    try:
+        quality.train(docs, labels, sample=4)
+    finally:
+        quality.fit = own
+    assert seen == [4]
+
+
 def test_quality_fit_finds_interactions():
     r = np.random.default_rng(0)
     x = r.normal(size=(4000, 3))
@@ -107,7 +129,14 @@ def test_sketches(spark):
         p = [sketches.paragraphs(*sketches.csr([x.encode()]))[0].tolist() for x in (text[a], e, text[b])]
         alike = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 1.0
         assert by[a]["near_edited"] == pytest.approx(alike(p[0], p[1])) and by[a]["near_next"] == pytest.approx(alike(p[0], p[2]))
+        # what is returned follows from the fingerprints alone
+        assert sketches.compared(by[a]["fingerprint"], by[a]["edited_fingerprint"]) == pytest.approx(by[a]["near_edited"])
+        assert sketches.compared(by[a]["fingerprint"], by[b]["fingerprint"]) == pytest.approx(by[a]["near_next"])
     assert by[12]["fingerprint"] == by[900]["fingerprint"]
+    # ranges of a few hundred bytes, among them many rows of one id
+    same = spark.createDataFrame([(5, f"text {i} " * 9) for i in range(60)] + [(i, "x y z " * i) for i in range(6, 30)], "doc_id long, text string")
+    narrow, wide = (sorted(map(tuple, sketches.fingerprints(same, most=m).collect())) for m in (500, 1 << 30))
+    assert narrow == wide and len(narrow) == 84
     one = sketches.fingerprints(docs.filter("doc_id = 901")).first()
     assert one["near_next"] == 1.0 and sketches.fingerprints(docs.limit(0)).count() == 0
 
@@ -127,16 +156,3 @@ def test_snapshots(spark):
     db.sql(f"create view conversations as select * from '{SF}/conversations.parquet'")
     want = db.sql(ORACLES["op3_snapshot_collapse"]).fetchall()
     assert sorted(map(tuple, chat.render(c).collect())) == sorted(want)
-
-
-def test_pipeline(spark):
-    docs = documents(spark).withColumnRenamed("lang", "lang")
-    cols = docs.columns
-    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, SF)
-        rows = out.collect()
-        assert rows
-        if i < len(corpus_pipeline.STAGES) - 1:
-            assert out.columns == cols
-        docs = spark.createDataFrame(rows, out.schema)
-    assert docs.columns[:3] == ["doc_id", "n_tokens", "token_ids"]

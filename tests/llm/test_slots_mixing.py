@@ -28,6 +28,21 @@ def test_slots(spark):
     assert max(by.values()) - min(by.values()) <= max(r["size"] for r in got)
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, _ in data)
     assert slots.shard(docs.limit(0), 8).count() == 0
+    # by brute force: slots by digest, heaviest first to the lightest shard
+    import hashlib
+
+    own = lambda r: int(hashlib.md5(f"{'null' if r['doc_id'] is None else r['doc_id']}|{r['text_crc32']}".encode()).hexdigest()[:8], 16) % slots.N_SLOTS
+    size = Counter()
+    for r in got:
+        size[own(r)] += r["size"]
+    load, shard = [0] * 8, {}
+    for s in sorted(size, key=lambda s: (-size[s], s)):
+        shard[s] = min(range(8), key=lambda i: (load[i], i))
+        load[shard[s]] += size[s]
+    assert all(r["shard"] == shard[own(r)] for r in got)
+    grown = slots.shard_and_grow(docs, 8).collect()
+    assert {(r["doc_id"], r["shard"]) for r in grown} == {(r["doc_id"], r["shard"]) for r in got} and {r["next_shard"] for r in grown} == set(range(9))
+    assert all(r["next_shard"] in (r["shard"], 8) for r in grown)
 
 
 def test_rebalancing_moves_little():
@@ -83,4 +98,6 @@ def test_mix(spark, seed):
     norm = lambda f: sorted(map(str, f[cols].astype({"doc_id": "float"}).itertuples(index=False, name=None)))
     assert norm(want) == norm(got)
     assert mixing.mix(docs.limit(0)).count() == 0
+    odd = docs.withColumnsRenamed({"size": "_id"}).withColumn("_size", docs["doc_id"]).withColumn("_row", docs["text"])
+    assert mixing.mixed(odd).columns == odd.columns and mixing.mixed(odd).count() == got.copies.sum()
     assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).count() == got.copies.sum()

@@ -69,5 +69,7 @@ def test_empty_and_clashing_columns(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, __x string")
     assert suffix.remove_repeats(docs).count() == 0
     docs = spark.createDataFrame([(1, "a" * 80, "p", 5), (2, "a" * 80, None, None)], "doc_id long, text string, bucket string, chunk int")
+    odd = suffix.remove_repeats(docs.withColumnsRenamed({"bucket": "__t", "chunk": "__id"}), carry=("__t", "__id")).orderBy("__id").collect()
+    assert [tuple(r["__carry"]) for r in odd] == [("p", 5), (None, None)]
     got = suffix.remove_repeats(docs, with_text=True, carry=("bucket", "chunk")).orderBy("__id").collect()
-    assert [(r["bucket"], r["chunk"], r["__removed"], r["__kept"]) for r in got] == [("p", 5, 0, "a" * 80), (None, None, 80, "")]
+    assert [(r["__carry"]["bucket"], r["__carry"]["chunk"], r["__removed"], r["__kept"]) for r in got] == [("p", 5, 0, "a" * 80), (None, None, 80, "")]

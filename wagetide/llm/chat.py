@@ -51,6 +51,6 @@ def render(conversations: DataFrame, part: int = PART) -> DataFrame:
     places = t.join(kept.withColumnRenamed("conv_id", "k"), F.col("conv_id").eqNullSafe(F.col("k"))).select("conv_id", "turn", "h1", "h2", "pos", "n_turns", "copies")
     said = rows.join(places, same).groupBy("conv_id", "n_turns", "copies", F.floor(F.col("pos") / part).cast("int").alias("part"))
     # equal rows of a conversation meet in one place
-    lines = said.agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("pos", "r", "x")))).alias("l"))
+    lines = said.agg(F.array_sort(F.collect_set(F.struct("pos", "r", "x"))).alias("l"))
     line = F.transform("l", lambda s: F.concat(F.lit("<|"), s["r"], F.lit("|>\n"), s["x"], F.lit("<|end|>\n")))
     return lines.select("conv_id", "n_turns", "copies", "part", F.array_join(line, "").alias("text"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, MULT, Rolling, mix, packed, pieces, staged, text_buffer, unpacked, words
-from .suffix import by_bucket, chunked, ordered, to_bytes
+from .suffix import CHUNK, by_bucket, chunked, ordered, spread, to_bytes
 
 END = 0xFF
 #: Bytes of the contexts; the last context is the word so far.
@@ -520,21 +520,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of each row."""
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(True))
     docs = docs.select(id_col, text_col, held.alias("__held"))
-    own, n = chunked(docs, id_col, text_col, ["__held"])
+    own, n = chunked(docs, id_col, text_col, ("__held",))
     n = max(8, -(-n // TOGETHER))
     own = own.withColumn("__c", F.pmod("__c", F.lit(n)))
     model = train(docs, id_col, text_col, F.col("__held"))
-    by_chunk = own.groupBy("__c")
-    asked = by_chunk.applyInArrow(_asked(n), "bucket long, chunk long, g binary").groupBy("bucket")
-    logs = model.counted.select("g", "c").mapInArrow(_gram_logs(model.low, model.mixer, n), "bucket long, g binary, logs binary").groupBy("bucket")
+    tasks = spread(docs, n * TOGETHER * CHUNK)
+    by_chunk = own.repartition(tasks, "__c").groupBy("__c")
+    asked = by_chunk.applyInArrow(_asked(n), "bucket long, chunk long, g binary").repartition(tasks, "bucket").groupBy("bucket")
+    logs = model.counted.select("g", "c").mapInArrow(_gram_logs(model.low, model.mixer, n), "bucket long, g binary, logs binary").repartition(tasks, "bucket").groupBy("bucket")
     answers = asked.cogroup(logs).applyInArrow(_answers(n), "chunk long, bucket long, c binary")
     index = by_chunk.applyInArrow(_words_of(n), "bucket long, chunk long, h binary, c binary")
-    counts = index.groupBy("bucket").applyInArrow(_word_counts, "chunk long, bucket long, c binary, total long, kinds long")
+    counts = index.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_word_counts, "chunk long, bucket long, c binary, total long, kinds long")
     size = counts.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
     both = counts.select("chunk", "bucket", "c").union(answers)
-    made = by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(_scored(n), schema)
+    made = by_chunk.cogroup(both.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(_scored(n), schema)
     # the yardstick's denominator is one row of two sums
     made = made.crossJoin(F.broadcast(size))
     base = F.col("base_score") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.5 * (F.col("kinds") + 1))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, text_of
+from .common import WORD, fresh, staged, text_of
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -47,9 +47,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target, copies, taken of every document."""
-    size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
-    order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    rows = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), order.alias("_o")).withColumn("_b", F.substring("_o", 1, 3)), "mix-sizes")
+    size = F.regexp_count(text_of(f"`{text_col}`"), F.lit(WORD)).cast("long")
+    order = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).cast("binary"))
+    rows = staged(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"), order.alias("_o")).withColumn("_b", F.substring("_o", 1, 3)), "mix-sizes")
     goal = staged(targets(rows, weights, most), "mix-targets")
     sums = rows.groupBy("source", "_b").agg(F.sum("size").alias("_s"))
     earlier = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,7 +80,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The documents that the mix takes, with all their columns, as often as it takes them; documents without words go. Repeated
     rows of one id and size all come as often as the most taken of them."""
-    kept = mix(docs, id_col, text_col, source_col, **how).filter("copies > 0").groupBy("doc_id", "size").agg(F.max("copies").alias("_n"))
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_n"))
-    size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (size == F.col("_size"))).select(*[docs[c] for c in docs.columns])
+    id_, size, times = fresh(docs.columns, "_id", "_size", "_times")
+    kept = mix(docs, id_col, text_col, source_col, **how).filter("copies > 0").groupBy(F.col("doc_id").alias(id_), F.col("size").alias(size)).agg(F.max("copies").alias(times))
+    words = F.regexp_count(text_of(f"`{text_col}`"), F.lit(WORD)).cast("long")
+    own, own_size = fresh([*docs.columns, id_, size, times], "_row", "_words")
+    rows = docs.select(F.col(f"`{id_col}`").alias(own), words.alias(own_size), *[F.col(f"`{c}`") for c in docs.columns])
+    out = rows.join(kept, F.col(own).eqNullSafe(F.col(id_)) & (F.col(own_size) == F.col(size))).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, Rolling, mix, pieces, staged, text_buffer, text_of, words
+from .common import MULT, Rolling, fresh, mix, pieces, staged, text_buffer, text_of, words
 from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -206,13 +206,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Of each group only the document of smallest id, with all its columns; of several rows of that id, one. Rows with a null id
-    stay, once for each text, if no row with an id has their text."""
+    """Of each group only the document of smallest id, with all its columns; of several rows of that id, the one whose whole content has
+    the smallest digest, so that reruns agree. Rows with a null id stay, once for each text, if no row with an id has their text."""
     found = staged(groups(docs, id_col, text_col, **how), "near-groups")
-    kept = found.filter("doc_id = group_id").select(F.col("doc_id").alias("__id")).distinct()
-    out = docs.join(kept, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    own, digest, known_id = fresh(docs.columns, "__row", "__digest", "__kept")
+    kept = found.filter("doc_id = group_id").groupBy(F.col("doc_id").alias(known_id)).agg(F.count("*").alias(digest))
+    out = docs.join(kept.select(known_id), F.col(f"`{id_col}`") == F.col(known_id), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+    def one_of(rows: DataFrame, key: str) -> DataFrame:
+        picked = rows.select(key, row.alias(own)).withColumn(digest, F.md5(F.to_json(own).cast("binary")))
+        return picked.groupBy(key).agg(F.min_by(own, digest).alias(own)).select(f"`{own}`.*")
+
+    if not kept.filter(F.col(digest) > 1).isEmpty():
+        out = one_of(out.withColumn(known_id, F.col(f"`{id_col}`")), known_id)
     if found.filter("group_id is null").isEmpty():
         return out
-    known = docs.filter(F.col(id_col).isNotNull()).select(F.md5(text_of(text_col).cast("binary")).alias("__h")).distinct()
-    loose = docs.filter(F.col(id_col).isNull()).withColumn("__m", F.md5(text_of(text_col).cast("binary")))
-    return out.unionByName(loose.join(known, F.col("__m") == F.col("__h"), "left_anti").dropDuplicates(["__m"]).drop("__m"))
+    text = F.md5(text_of(f"`{text_col}`").cast("binary"))
+    known = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(text.alias(digest)).distinct()
+    loose = docs.filter(F.col(f"`{id_col}`").isNull()).withColumn(known_id, text)
+    return out.unionByName(one_of(loose.join(known, F.col(known_id) == F.col(digest), "left_anti"), known_id))

@@ -136,13 +136,15 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Learns from at most sample labelled documents outside the held-out fold."""
-    pick = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna()
+    """Learns from at most sample labelled documents outside the held-out fold; of several rows of an id from the text of smallest
+    digest. So at most sample rows come to the driver, however often ids repeat."""
+    pick = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna().distinct()
     pick = pick.filter(F.crc32(F.col("_id").cast("string").cast("binary")) % FOLDS != HELD_OUT)
     # at most sample rows, so small enough to send to all tasks whatever the input
     pick = pick.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(F.broadcast(pick), "_id")
-    made = rows.select("_id", "_y", _features("_t").alias("_x")).toPandas().sort_values(["_id", "_y"])
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text_of(f"`{text_col}`").alias("_t")).join(F.broadcast(pick), "_id")
+    one = rows.groupBy("_id", "_y").agg(F.min_by("_t", F.md5(F.col("_t").cast("binary"))).alias("_t"))
+    made = one.select("_id", "_y", _features("_t").alias("_x")).toPandas().sort_values(["_id", "_y"])
     return fit(np.array(made["_x"].tolist()).reshape(-1, len(FEATURES)), made["_y"].to_numpy(float))
 
 

@@ -23,8 +23,8 @@ def op3_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = slots.shard(table(spark, sf_dir, "documents"), 8)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+    out = slots.shard_and_grow(table(spark, sf_dir, "documents"), 8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version", "next_shard")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,20 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_suffix_arrays": r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b) AS size FROM d),
+w AS (SELECT doc_id, i, array_slice(b, i, i + 49) AS s FROM (SELECT doc_id, b, unnest(range(1, size - 48)) AS i FROM n WHERE size >= 50)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+gone AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS fresh FROM w JOIN f USING (s) WHERE least < doc_id),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT *, sum(fresh::int) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM gone) GROUP BY doc_id, k),
+gaps AS (
+  SELECT n.doc_id, r.a, array_slice(b, coalesce(lag(r.z) OVER (PARTITION BY n.doc_id ORDER BY r.a), 1), r.a - 1) AS piece FROM n JOIN runs r USING (doc_id)
+  UNION ALL SELECT n.doc_id, 1::bigint << 40, array_slice(b, coalesce(z, 1), size) FROM n LEFT JOIN (SELECT doc_id, max(z) AS z FROM runs GROUP BY doc_id) USING (doc_id)),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(hex(piece), '' ORDER BY a))) AS kept_sha256 FROM gaps GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(z - a)::bigint AS n_removed, count(*)::bigint AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, size::bigint AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans, kept_sha256 FROM n JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+""",
     "op3_snapshot_collapse": r"""
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 s AS (SELECT conv_id, turn, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS line, text FROM t),

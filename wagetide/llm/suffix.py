@@ -14,10 +14,10 @@ that suffix arrays are built over candidates only:
 5. drop    Chunks take the removed windows out of their documents.
 
 Every step holds one chunk, bucket, block or document at a time; no group is collected, capped or sampled. Equal strings within a
-chunk or shard are told by 64-bit hashes of them.
+chunk or shard are told by 64-bit hashes of them. The number of tasks follows the bytes, not only the session.
 
 Null text counts as empty. A null id counts as larger than all others, and as smaller than none. Rows of one id do not remove each
-other's text. Other columns are carried along only on request and may have any names.
+other's text. Other columns are carried along only on request, in a struct, and may have any names.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from .common import Rolling, gather, text_buffer
 
 LENGTH, K = 50, 16
 CHUNK, BLOCK, PIECE = 4 << 20, 2 << 20, 2 << 20
+#: Bytes of text that a task deals with, one chunk after the other.
+TASK = 64 << 20
 HOT, SPLIT = 2000, 64
 LAST = np.iinfo(np.int64).max
 LOW48 = np.uint64((1 << 48) - 1)
@@ -165,7 +167,12 @@ def to_bytes(x) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, carry: list[str] = ()) -> tuple[DataFrame, int]:
+def spread(docs: DataFrame, size: int) -> int:
+    """Tasks for so many bytes: the session's partitions, and more where they would hold over TASK bytes each."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK))
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
     """Rows with the number of their chunk, __c, of about CHUNK bytes of text; and the number of chunks."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     n = max(8, -(-total // CHUNK))
@@ -353,7 +360,7 @@ def _sort(length: int, block: int):
     return run
 
 
-def _drop(carry: list[str], with_text: bool):
+def _drop(carry: tuple[str, ...], with_text: bool):
     def run(docs: pa.Table, spans: pa.Table) -> pa.Table:
         docs, _, buf, off = ordered(docs)
         step = np.zeros(len(buf) + 1, np.int32)
@@ -381,15 +388,17 @@ def _drop(carry: list[str], with_text: bool):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False, carry: tuple[str, ...] = (), hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """__id, __bytes, __removed, __spans, __sha (of the remaining bytes) of each row; on request __kept, the remaining text without
-    characters cut in two, and other columns."""
-    carry = [c for c in carry if c not in (id_col, text_col)]
-    own, n = chunked(docs, id_col, text_col, carry)
+    characters cut in two, and __carry, a struct of other columns, whatever their names."""
+    packed = ("__carry",) if carry else ()
+    rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"), *[F.struct(*[F.col(f"`{c}`") for c in carry]).alias(x) for x in packed])
+    own, n = chunked(rows, "i", "t", packed)
     shards = 2 * n
-    by_chunk = own.groupBy("__c")
+    tasks = spread(docs, n * CHUNK)
+    by_chunk = own.repartition(tasks, "__c").groupBy("__c")
     index = by_chunk.applyInArrow(_index(n, length), "bucket long, chunk long, hashes binary, info binary")
-    masks = index.groupBy("bucket").applyInArrow(_shared(hot), "chunk long, bucket long, mask binary")
-    cut = by_chunk.cogroup(masks.groupBy("chunk")).applyInArrow(_cut(n, shards, length), "shard long, chunk long, doc binary, windows binary, raw binary, members binary, pos binary, later binary")
-    spans = cut.groupBy("shard").applyInArrow(_sort(length, block), "chunk long, starts binary, sizes binary")
+    masks = index.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_shared(hot), "chunk long, bucket long, mask binary")
+    cut = by_chunk.cogroup(masks.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(_cut(n, shards, length), "shard long, chunk long, doc binary, windows binary, raw binary, members binary, pos binary, later binary")
+    spans = cut.repartition(tasks, "shard").groupBy("shard").applyInArrow(_sort(length, block), "chunk long, starts binary, sizes binary")
     kinds = {f.name: f.dataType.simpleString() for f in own.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*carry, "__id"]), "__bytes long, __removed long, __spans long, __sha string", *["__kept string"] * with_text])
-    return by_chunk.cogroup(spans.groupBy("chunk")).applyInArrow(_drop(carry, with_text), schema)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*packed, "__id"]), "__bytes long, __removed long, __spans long, __sha string", *["__kept string"] * with_text])
+    return by_chunk.cogroup(spans.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(_drop(packed, with_text), schema)
