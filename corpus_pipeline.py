@@ -26,7 +26,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = suffix.remove_repeats(docs, with_text=True, carry=tuple(rest))
     made = {"doc_id": F.col("__id"), "text": F.col("__kept"), "n_chars": F.length("__kept").cast("long")}
-    return out.select(*[(made[c] if c in made else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[(made[c] if c in made else F.col(f"__carry.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("source mix", mixing_stage),
     ("byte-level BPE", bpe_stage),
 ]
-#: The stages have no SQL; tests compare them with brute force.
+#: The stages have no SQL; tests/llm/test_pipeline.py compares all of them with brute force, and the classifier with its own model's score.
 ORACLE_SQL = None
 
 
