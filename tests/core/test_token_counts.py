@@ -16,11 +16,11 @@ def tokens(t):
 def test_all_documents_are_counted(spark, tmp_path):
     texts = ["Café naïve — “quoted” text", "plain text", "ﬁne Ångström Limited", "Übergröße 42", None, "", "漢字 mixed ½"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["token"]: r["n"] for r in QUERIES["n_token_counts_all"](spark, str(tmp_path)).collect()}
+    got = {r["token"]: r["n"] for r in QUERIES["n_token_counts"](spark, str(tmp_path)).collect()}
     assert got == Counter(x for t in texts for x in tokens(t)) and got["CAFE"] == 1 and got["TEXT"] == 2
 
 
 def test_tables_documents(spark):
     sf = "/root/testdata/sf0.001"
-    got = {r["token"]: r["n"] for r in QUERIES["n_token_counts_all"](spark, sf).collect()}
+    got = {r["token"]: r["n"] for r in QUERIES["n_token_counts"](spark, sf).collect()}
     assert got == Counter(x for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() for x in tokens(r["text"]))

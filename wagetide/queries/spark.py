@@ -80,12 +80,6 @@ def v_warning_counts(spark, sf_dir):
 
 @query
 def v_descriptions(spark, sf_dir):
-    c = validation.checked(_dirty_orders(spark, sf_dir)).filter("status is null")
-    return c.groupBy("text").agg(F.count("*").alias("n")).filter("text = '__EMPTY__' or n > 1")
-
-
-@query
-def v_descriptions_all(spark, sf_dir):
     """Every description, also those that occur once."""
     c = validation.checked(_dirty_orders(spark, sf_dir)).filter("status is null")
     return c.groupBy("text").agg(F.count("*").alias("n"))
@@ -115,13 +109,7 @@ def _token_counts(docs: DataFrame) -> DataFrame:
 
 @query
 def n_token_counts(spark, sf_dir):
-    """Of ASCII documents only, which the SQL can follow; n_token_counts_all has all."""
-    return _token_counts(tables.read(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")))
-
-
-@query
-def n_token_counts_all(spark, sf_dir):
-    """Of all documents, whatever their script; no SQL folds characters this way."""
+    """Of all documents, whatever their script."""
     return _token_counts(tables.read(spark, sf_dir, "documents"))
 
 
@@ -262,7 +250,7 @@ def b_unaccounted(spark, sf_dir):
     m, c = _assembled(spark, sf_dir, "orders")
     taken = pool.members(pool.with_credits(m.filter(F.col("source") != pool.FALLBACK), c)).select("analysis_id", "pos")
     left = c.join(taken, ["analysis_id", "pos"], "left_anti")
-    return left.groupBy("analysis_id").agg(F.count("*").alias("n"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("decimal(18,2)").alias("total"))
+    return left.groupBy("analysis_id").agg(F.count("*").alias("n"), F.sum(F.col("amount").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
 # series -----------------------------------------------------------------------------------------------------------------
@@ -311,6 +299,7 @@ def r_best(spark, sf_dir):
 
 
 def _detected(spark, sf_dir, kind="payroll"):
+    """Detection over an adapter's rows, each analysis with the region of its customer's nation."""
     rows = (tables.payroll_rows if kind == "payroll" else tables.order_rows)(spark, sf_dir)
     about = tables.customer_regions(spark, sf_dir).withColumn("scenario_description", F.lit("adapter"))
     if kind == "payroll":  # every third analysis leaves its region open
@@ -368,8 +357,14 @@ def m_trigger(spark, sf_dir):
 
 @query
 def m_payload(spark, sf_dir):
+    """What a reviewer reads, parsed back from the payload's JSON."""
     p = review.payloads(_detected(spark, sf_dir).result)
-    return p.select("analysis_id", F.length("payload").alias("chars"), F.md5("payload").alias("digest"))
+    one = "struct<candidate_sets:array<struct<id:string,confidence:double,transactions:array<struct<transaction_id:string>>>>,country_region:string,metadata:struct<input_summary:struct<credit_count:bigint,date_range_start:string,date_range_end:string>>>"
+    p = p.select("analysis_id", F.from_json("payload", one).alias("j")).selectExpr("analysis_id", "j.*").selectExpr("analysis_id", "metadata.input_summary.*", "candidate_sets", "country_region")
+    return p.selectExpr(
+        "analysis_id", "credit_count", "date_range_start", "date_range_end", "array_join(transform(candidate_sets, c -> concat(c.id, '=', cast(cast(c.confidence as decimal(6,4)) as string))), '|') as sets",
+        "aggregate(candidate_sets, 0L, (s, c) -> s + size(c.transactions)) as listed", "country_region",
+    )
 
 
 __all__ = ["QUERIES", "scoring", "linking"]
