@@ -93,3 +93,16 @@ def test_alignment_is_exact_above_threshold():
         true = m / (len(a) + len(b) - m) if len(a) and len(b) else float(len(a) == len(b))
         got = near.similarity(a, b)
         assert (got >= 0.8) == (true >= 0.8) and (true < 0.8 or abs(got - true) < 1e-12)
+
+
+def test_short_texts_share_a_bucket():
+    r = np.random.default_rng(2)
+    missed = {}
+    for n in (5, 8, 10, 15, 16, 20, 25):
+        for _ in range(400):
+            a = r.integers(0, 1 << 63, n).astype(np.uint64)
+            gone = r.choice(n, n // 5, replace=False)
+            cut = np.delete(a, gone)
+            assert near.similarity(a, cut) >= 0.8
+            missed[n] = missed.get(n, 0) + (not set(near.sketch(a)) & set(near.sketch(cut)))
+    assert sum(missed.values()) <= 3 and not any(missed[n] for n in (5, 8, 10, 15)), missed

@@ -1,9 +1,10 @@
 """Near-duplicate groups by Order MinHash with banded alignment.
 
 A text is its sequence of shingles of five words; a repeated shingle is labelled with its occurrence number. Each of SKETCHES hash
-functions picks the PICK smallest labelled shingles and keeps them in text order; their hash names a bucket. Texts that share much, in
-the same order, share a bucket: at similarity 0.8 all buckets miss long texts with a probability of 0.0002, but 8 of 10 common shingles
-with 0.0015 and 4 of 5 with 0.028.
+functions picks the PICK smallest labelled shingles and keeps them in text order; their hash names a bucket. Texts of at most SHORT
+shingles pick SHORT_PICK, and texts that may be near both kinds pick both. Texts that share much, in the same order, share a bucket: at
+similarity 0.8 all buckets miss long texts with a probability of 0.0002, 16 of 20 common shingles with 0.0005, and 8 of 10 or 4 of 5 with
+less than 0.000001.
 
 Similarity is that of an alignment: matched shingles / (all shingles of both - matched). Pairs at or above the threshold leave at
 most (n1 + n2) * (1 - t) / (1 + t) shingles unmatched, so matches lie in a band of that width around the diagonal; the longest common
@@ -31,6 +32,7 @@ from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, PICK = 16, 4
+SHORT, SHORT_PICK = 16, 2
 BLOCK = 1024
 _ODD = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * MULT) | np.uint64(1)
 
@@ -64,20 +66,28 @@ def labelled(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return mix(h + occurrence * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def sketch(x: np.ndarray) -> np.ndarray:
-    """A text's buckets from its labelled shingles."""
-    if len(x) > PICK:
-        at = np.argpartition(x[None, :] * _ODD[:, None], PICK - 1, axis=1)[:, :PICK]
+def _buckets(x: np.ndarray, pick: int) -> np.ndarray:
+    if len(x) < pick:  # meets only its like
+        picked = x[None, :]
+    elif len(x) == pick:
+        picked = np.tile(x, (SKETCHES, 1))
+    else:
+        at = np.argpartition(x[None, :] * _ODD[:, None], pick - 1, axis=1)[:, :pick]
         at.sort(axis=1)
         picked = x[at]
-    else:
-        picked = np.tile(x, (SKETCHES, 1))
-    out = _ODD.copy()
+    out = _ODD[: len(picked)] + np.uint64(pick)
     for k in range(picked.shape[1]):
         out = mix(out * MULT + picked[:, k])
     return out
 
 
+def sketch(x: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """A text's buckets from its labelled shingles. Two texts that are near have both picked few minima, or both many."""
+    few = [_buckets(x, SHORT_PICK)] if len(x) * least <= SHORT + 1e-9 else []
+    many = [_buckets(x, PICK)] if len(x) > SHORT else []
+    return np.concatenate(few + many)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Similarity of two shingle sequences by banded alignment; any value below least stands for itself or less."""
     n, m = len(a), len(b)
@@ -108,14 +118,17 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return matched / (n + m - matched)
 
 
-def _sketches(batches):
-    for batch in batches:
-        for part in pieces(batch, "t", 1 << 20):
-            h, off = shingles(*text_buffer(part.column("t")))
-            x = labelled(h, off)
-            keys = [sketch(x[a:b]) if b > a else np.zeros(0, np.uint64) for a, b in zip(off[:-1], off[1:], strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)))
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "h": part.column("h"), "n": pa.array(np.diff(off)), "keys": lists})
+def _sketches(least: float):
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "t", 1 << 20):
+                h, off = shingles(*text_buffer(part.column("t")))
+                x = labelled(h, off)
+                keys = [sketch(x[a:b], least) if b > a else np.zeros(0, np.uint64) for a, b in zip(off[:-1], off[1:], strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "h": part.column("h"), "n": pa.array(np.diff(off)), "keys": lists})
+
+    return run
 
 
 def _compare(least: float):
@@ -170,7 +183,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     """doc_id, text_id (smallest id with an equal text), group_id (smallest id of the near-duplicate group) of each row."""
     text = text_of(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("h"), text.alias("t"))
-    rows = staged(base.mapInArrow(_sketches, "doc_id long, h binary, n long, keys array<long>"), "sketches")
+    rows = staged(base.mapInArrow(_sketches(least), "doc_id long, h binary, n long, keys array<long>"), "sketches")
     classes = rows.groupBy("h").agg(F.min("doc_id").alias("cid"))
     named = staged(classes.select("h", "cid"), "classes")
     # one row for each different text, by its smallest id
