@@ -39,6 +39,15 @@ def test_long_pieces_merge_alike(library, monkeypatch):
     assert [x.tolist() for x in codec.encode_pieces(pieces)] == [x.tolist() for x in matrix]
 
 
+def test_known_pieces_are_bounded(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_CHARS", 5000)
+    codec = bpe.Bpe(public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN)
+    for t in [c * n for n in range(900, 1000, 7) for c in "abé"]:
+        ids, _ = codec.encode([t, "x y", t])
+        assert ids.tolist() == library.encode_ordinary(t) + library.encode_ordinary("x y") + library.encode_ordinary(t)
+        assert codec.held == sum(map(len, codec.known)) <= 5000
+
+
 def test_rows(spark, library):
     rows = [(1, "hello world"), (1, "hello world"), (None, None), (3, "")]
     docs = spark.createDataFrame([(*x, 9) for x in rows], "doc_id long, text string, n_tokens int")

@@ -24,8 +24,9 @@ from .common import csr, gather, pieces
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONGEST = 512
-#: Distinct pieces whose tokens a worker keeps.
+#: Distinct pieces, and their characters, whose tokens a worker keeps; beyond, it begins anew.
 CACHED = 400_000
+CACHED_CHARS = 16_000_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -49,6 +50,7 @@ class Bpe:
                     pairs[a * self.size + b] = r
         self._index(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
         self.known: dict[str, int] = {}
+        self.held = 0
         self.flat, self.off = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -167,9 +169,12 @@ class Bpe:
             found += self.find(t)
             ends.append(len(found))
         new = list(set(found) - self.known.keys())
-        if len(self.known) + len(new) > CACHED:
-            self.known, self.flat, self.off = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
+        size = sum(map(len, new))
+        if len(self.known) + len(new) > CACHED or self.held + size > CACHED_CHARS:
+            self.known, self.flat, self.off, self.held = {}, np.zeros(0, np.int32), np.zeros(1, np.int64), 0
             new = list(set(found))
+            size = sum(map(len, new))
+        self.held += size
         if new:
             made = self.encode_pieces([p.encode() for p in new])
             n = len(self.known)
