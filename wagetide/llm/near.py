@@ -3,7 +3,7 @@
 A text is its sequence of shingles of five words; a repeated shingle is labelled with its occurrence number. Each of SKETCHES hash
 functions picks the PICK smallest labelled shingles and keeps them in text order; their hash names a bucket. Texts of at most SHORT
 shingles pick SHORT_PICK, and texts that may be near both kinds pick both. Texts that share much, in the same order, share a bucket: at
-similarity 0.8 all buckets miss long texts with a probability of 0.0002, 16 of 20 common shingles with 0.0005, and 8 of 10 or 4 of 5 with
+similarity 0.8 all buckets miss long texts with a probability of 0.0002, 20 of 25 common shingles with 0.0004, and 8 of 10 or 4 of 5 with
 less than 0.000001.
 
 Similarity is that of an alignment: matched shingles / (all shingles of both - matched). Pairs at or above the threshold leave at
