@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wagetide.llm import suffix
@@ -73,3 +74,27 @@ def test_empty_and_clashing_columns(spark):
     assert [tuple(r["__carry"]) for r in odd] == [("p", 5), (None, None)]
     got = suffix.remove_repeats(docs, with_text=True, carry=("bucket", "chunk")).orderBy("__id").collect()
     assert [(r["__carry"]["bucket"], r["__carry"]["chunk"], r["__removed"], r["__kept"]) for r in got] == [("p", 5, 0, "a" * 80), (None, None, 80, "")]
+
+
+def test_hot_hashes_do_not_multiply_the_text():
+    """Windows around a phrase that most texts have go on as runs; one by one they would be sent with 50 bytes each."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9)))
+    texts = [" ".join([*(word() for _ in range(9)), "as a matter of course", *(word() for _ in range(9))]) for _ in range(400)]
+    ids = pa.array(range(len(texts)))
+    chunk = pa.table({"__id": ids, "__d": ids, "__k": ids, "__t": pa.array(texts), "__c": pa.array([0] * len(texts))})
+    sent = {}
+    for hot in (2000, 50):
+        masks = suffix._shared(hot)(suffix._index(1, 50)(chunk))
+        cut = suffix._cut(1, 1, 50)(chunk, masks)
+        windows = sum(int(np.frombuffer(x, np.uint8).sum()) for x in cut.column("windows").to_pylist())
+        sent[hot] = windows, sum(map(len, cut.column("raw").to_pylist()))
+    assert sent[50][0] >= 0.9 * sent[2000][0] > 0 and sent[50][1] < 25 * sent[50][0]
+
+
+def test_every_tier_is_like_brute_force(spark):
+    rows = made(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (0, 1):
+        got = suffix.remove_repeats(docs, hot=hot, block=1500).select("__id", "__bytes", "__removed", "__spans", "__sha").collect()
+        assert sorted(map(tuple, got), key=str) == brute(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ MULT = np.uint64(0x9E3779B97F4A7C15)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 WORD = r"[^\x20\x09-\x0D]+"
-__all__ = ["IS_SPACE", "MULT", "WORD", "Rolling", "csr", "fresh", "gather", "mix", "packed", "pieces", "powers", "shared_path", "staged", "table", "text_buffer", "text_of", "unpacked", "words"]
+__all__ = ["IS_SPACE", "MULT", "WORD", "Rolling", "csr", "fresh", "gather", "mix", "packed", "pieces", "powers", "release", "shared_path", "staged", "table", "text_buffer", "text_of", "unpacked", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,13 @@ def pieces(batch: pa.RecordBatch | pa.Table, col: str = "text", most: int = 1 <<
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Gives free memory back to the system. Workers are used again by later stages, and keep what the largest task took otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = x ^ (x >> np.uint64(32))
@@ -76,13 +84,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BASE = 0x100000001B3 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps; those for longer texts are made anew.
+KEPT = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n).bit_length())
+        size = 1 << max(16, int(n - 1).bit_length()) if n <= KEPT else int(n)
         out = np.empty(size, np.uint64)
         out[0] = 1
         done = 1
@@ -90,7 +100,9 @@ def powers(base: int, n: int) -> np.ndarray:
             step = min(done, size - done)
             out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
             done += step
-        _POWERS[base] = have = out
+        have = out
+        if size <= KEPT:
+            _POWERS[base] = out
     return have[:n]
 
 

@@ -6,9 +6,10 @@ that suffix arrays are built over candidates only:
 1. index   Documents are dealt by hash into chunks. The windows (strings of LENGTH bytes) of a document fall into runs that share
            their least hash of K bytes. Each chunk sends the hashes of its runs, once each, to the hash's bucket.
 2. shared  A bucket tells each chunk which of its hashes occur in two or more documents, and which occur in so many different
-           surroundings (HOT) that their windows must be dealt out one by one.
+           surroundings (HOT) that their runs must be dealt out further.
 3. cut     A chunk sends the text of the runs concerned, each different string once with its smallest document, to the shard of the
-           run's hash; of a hot hash each window by itself, to the shard of the window's own hash. Equal windows meet in a shard.
+           run's hash. The windows of a hot hash fall into runs again, by their least hash of LONGER of their bytes, which few
+           surroundings share; those of a hash HOTTER times as hot by the hash of all their bytes. Equal windows meet in a shard.
 4. sort    A shard builds suffix arrays by Larsson-Sadakane refinement over blocks of its strings, common prefixes by Kasai's rule,
            and merges blocks by binary search of one's windows in the other. A window that occurs with a smaller id is removed.
 5. drop    Chunks take the removed windows out of their documents.
@@ -30,13 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, gather, text_buffer
+from .common import Rolling, gather, release, text_buffer
 
-LENGTH, K = 50, 16
-CHUNK, BLOCK, PIECE = 4 << 20, 2 << 20, 2 << 20
+LENGTH, K, LONGER = 50, 16, 0.8
+CHUNK, BLOCK, PIECE = 4 << 20, 2 << 20, (1 << 20) - 1
 #: Bytes of text that a task deals with, one chunk after the other.
 TASK = 64 << 20
-HOT, SPLIT = 2000, 64
+#: A hash of up to HOT texts takes about a megabyte of a shard, and the parts of one of up to HOTTER times as many some blocks.
+HOT, HOTTER, SPLIT = 16_384, 16, 64
 LAST = np.iinfo(np.int64).max
 LOW48 = np.uint64((1 << 48) - 1)
 
@@ -107,8 +109,9 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, key8: np.ndarray) -> np.ndarr
     return (plcp[j] - (np.arange(n) - j))[sa]
 
 
-def _runs(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows in a row that share their least hash: first window, windows, that hash in 48 bits, hash of all their text, row."""
+def _runs(buf: np.ndarray, off: np.ndarray, length: int, k: int = K) -> tuple[np.ndarray, ...]:
+    """Runs of windows in a row that share their least hash of k bytes: first window, windows, that hash in 48 bits, hash of all their
+    text, row."""
     parts, row = [], 0
     while row < len(off) - 1:
         stop = max(row + 1, int(np.searchsorted(off, off[row] + PIECE, "right")) - 1)
@@ -116,8 +119,8 @@ def _runs(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ..
         if n >= length:
             own = off[row : stop + 1] - a
             roll = Rolling(buf[a : a + n])
-            m = roll.windows(K)
-            width, need = 1, length - K + 1
+            m = roll.windows(k)
+            width, need = 1, length - k + 1
             while width * 2 <= need:
                 m = np.minimum(m[:-width], m[width:])
                 width *= 2
@@ -215,6 +218,7 @@ def _shared(hot: int):
         chunks, several, texts = np.bincount(inv), np.bincount(inv, info >> 7), np.bincount(inv, info & 127)
         state = ((chunks > 1) | (several > 0)).astype(np.uint8)
         state[(state > 0) & (texts > hot)] = 2
+        state[(state > 0) & (texts > hot * HOTTER)] = 3
         ends = np.cumsum([len(b) for b in blobs])
         masks = [to_bytes(x) for x in np.split(state[inv], ends[:-1])]
         return pa.table({"chunk": rows.column("chunk"), "bucket": rows.column("bucket"), "mask": pa.array(masks, pa.binary())})
@@ -239,17 +243,14 @@ def _cut(n: int, shards: int, length: int):
                 if b in mask:
                     state[at] = np.frombuffer(mask[b], np.uint8)
             s = state[inv]
-            some = s == 1
-            deal = value
-            if (s == 2).any():
-                at = np.flatnonzero(s == 2)
-                nth = np.arange(count[at].sum()) - np.repeat(np.cumsum(count[at]) - count[at], count[at])
-                each = np.repeat(lo[at], count[at]) + nth
-                own = Rolling(buf).of(each, each + length)
-                lo, count, row = np.r_[lo[some], each], np.r_[count[some], np.ones_like(each)], np.r_[row[some], np.repeat(row[at], count[at])]
-                text, deal = np.r_[text[some], own], np.r_[value[some], own]
-            else:
-                lo, count, row, text, deal = lo[some], count[some], row[some], text[some], value[some]
+            parts = [(lo[s == 1], count[s == 1], row[s == 1], text[s == 1], value[s == 1])]
+            for level, k in ((2, max(K, int(length * LONGER))), (3, length)):
+                at = np.flatnonzero(s == level)
+                if len(at):
+                    hot, hot_off = buf[ranges(lo[at], count[at] + length - 1)], np.r_[0, np.cumsum(count[at] + length - 1)]
+                    sub, sub_count, sub_value, sub_text, run = _runs(hot, hot_off, length, k)
+                    parts.append((lo[at][run] + sub - hot_off[run], sub_count, row[at][run], sub_text, sub_value))
+            lo, count, row, text, deal = (np.concatenate(x) for x in zip(*parts, strict=True))
             if len(lo):
                 d = ids[row]
                 order = np.lexsort((d, deal, count, text))
@@ -263,6 +264,7 @@ def _cut(n: int, shards: int, length: int):
                     raw = buf[ranges(lo[first], count[first] + length - 1)]
                     for k, v in zip(_CUT.names, (b, chunk, to_bytes(d[first]), to_bytes(count[first].astype(np.uint8)), to_bytes(raw), to_bytes((ends[at] - first).astype(np.int32)), to_bytes(lo[mine].astype(np.int32)), to_bytes(later[mine])), strict=True):
                         out[k].append(v)
+        release()
         return pa.table(out, schema=_CUT)
 
     return run
@@ -316,8 +318,8 @@ def _sort(length: int, block: int):
         raw = np.concatenate(read("raw", np.uint8))
         off = np.r_[0, np.cumsum(count + length - 1)]
         roll, key = None, np.empty(len(doc), np.uint64)
-        for a in range(0, len(doc), 1 << 15):
-            b = min(len(doc), a + (1 << 15))
+        for a in range(0, len(doc), 1 << 13):
+            b = min(len(doc), a + (1 << 13))
             roll = Rolling(raw[off[a] : off[b]])
             key[a:b] = roll.of(off[a:b] - off[a], off[a + 1 : b + 1] - off[a])
         del roll
@@ -355,6 +357,7 @@ def _sort(length: int, block: int):
             starts.append(to_bytes(np.r_[p[whole], np.repeat(p[part], k) + a[at]].astype(np.int32)))
             sizes.append(to_bytes(np.r_[n[which[whole]] + length - 1, z[at] - a[at] + length].astype(np.int32)))
             chunks.append(c)
+        release()
         return pa.table({"chunk": pa.array(chunks, pa.int64()), "starts": pa.array(starts, pa.binary()), "sizes": pa.array(sizes, pa.binary())})
 
     return run
@@ -381,6 +384,7 @@ def _drop(carry: tuple[str, ...], with_text: bool):
         out["__sha"] = pa.array([hashlib.sha256(x).hexdigest() for x in texts])
         if with_text:
             out["__kept"] = pa.array([x.decode("utf-8", "ignore") for x in texts])
+        release()
         return pa.table(out)
 
     return run
