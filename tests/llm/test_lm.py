@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from wagetide.llm import lm
 
@@ -43,3 +45,41 @@ def test_refinement_follows_the_final_mixer(spark):
             step = lm.Mixer.step(model.mixer.odds(st, levels, gate, b))
             np.add.at(want, (bit.astype(int), b, gate, step), c)
     assert np.allclose(model.mixer.seen, want) and np.allclose(want.sum((0, 2, 3)), total)
+
+
+def _frequent_pair(rows, size):
+    """Counted grams of one pair of bytes, as many tasks pass them on."""
+    r = np.random.default_rng(6)
+    every = (r.integers(0, 1 << 40, 2 * size).astype(np.uint64) << np.uint64(24)) | np.uint64(0x657200) | r.integers(97, 123, 2 * size).astype(np.uint64)
+    parts = [np.unique(r.choice(every, size)) for _ in range(rows)]
+    return pa.table({"bucket": [0] * rows, "g": [lm.packed(p) for p in parts], "c": [lm.packed(np.ones(len(p), np.uint32)) for p in parts]}), parts
+
+
+def _peak(run):
+    tracemalloc.start()
+    out = run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_a_frequent_pair_is_added_up_in_bounded_memory():
+    rows, parts = _frequent_pair(160, 50_000)
+    out, peak = _peak(lambda: lm._add_grams(rows))
+    want, count = np.unique(np.concatenate(parts), return_counts=True)
+    assert np.array_equal(lm.unpacked(out.column("g").to_pylist(), np.uint64), want)
+    assert np.array_equal(lm.unpacked(out.column("c").to_pylist(), np.int64), count)
+    assert peak < 100e6
+
+
+def test_a_frequent_pair_is_scored_in_bounded_memory():
+    g = np.unique(np.concatenate(_frequent_pair(6, 400_000)[1]))
+    c, low = np.ones(len(g)), [np.ones((2, 256)), np.ones((2, 65536))]
+    got, peak = _peak(lambda: lm._logs(g, c, low, lm.Mixer()))
+    assert len(g) > 500_000 and peak < 250 * len(g)
+    # the same as with all contexts at once
+    want = np.zeros(len(g))
+    for b, (st, levels, bit) in enumerate(lm._inputs(g, c, low, 0)):
+        p = 1 / (1 + np.exp(-lm.Mixer().odds(st, levels, lm.Mixer.gate(levels), b)))
+        want += np.log(np.where(bit > 0, p, 1 - p))
+    assert np.allclose(got[0], want)

@@ -10,7 +10,7 @@ according to how well each did so far, and so the score is the log of the mean o
 
 All training texts are counted: bytes with their contexts ("grams") are counted per task, dealt out by the hash of the last two context
 bytes, and added up. Grams of held-out texts are among them, with a count of zero. A bucket has all that was counted after its contexts of
-two bytes and more, so each distinct gram is scored there, once, from all counts; the logs are dealt out by the gram's hash, and each chunk
+two bytes and more, so each distinct gram is scored there, once, from all counts, some contexts of three bytes at a time; the logs are dealt out by the gram's hash, and each chunk
 of documents gets back those of its own grams. Words are counted in buckets of their hashes, and come back the same way. What is collected
 and sent to all tasks is the weights and the counts of orders 0 and 1, whose number the alphabet bounds.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, MULT, Rolling, mix, packed, pieces, staged, text_buffer, unpacked, words
+from .common import IS_SPACE, MULT, Rolling, mix, packed, pieces, release, staged, text_buffer, unpacked, words
 from .suffix import CHUNK, by_bucket, chunked, ordered, spread, to_bytes
 
 END = 0xFF
@@ -40,6 +40,8 @@ PASSES = 2
 #: Bytes of text worked on at once, grams held by a task before it passes them on, and chunks that ask for grams together: the larger, the
 #: fewer grams are asked for twice.
 PIECE, HELD, TOGETHER = 1 << 19, 1_400_000, 3
+#: Grams that a bucket adds up at once, that are scored at once, and that one mixer learns from, contexts of three bytes being kept whole.
+ADDED, PART, LEARNT = 1 << 20, 1 << 17, 1 << 19
 #: Bytes whose arrays fit a cache; the high 16 bits.
 STEP, TOP16 = 1 << 16, np.uint64(0xFFFF << 48)
 END_TOKEN = np.uint64(0x5851F42D4C957F2D)
@@ -124,7 +126,7 @@ class Mixer:
     def learn(self, st: np.ndarray, levels: np.ndarray, bit: np.ndarray, weight: np.ndarray, b: int, size: int = 2048) -> np.ndarray:
         """Online passes over the b-th decisions; returns how much each weight was used. st, levels: orders x decisions."""
         gate = self.gate(levels)
-        places = self.places(levels, gate)
+        places = self.places(levels, gate).astype(np.int16)
         w = self.w[b].ravel()
         squares, used = np.full(w.size, 1e-3), sum(np.bincount(x, weight, w.size) for x in places)
         for a in [*range(0, st.shape[1], size)] * PASSES:
@@ -188,13 +190,6 @@ def _count_grams(buckets: int):
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged():
-            g, c = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-            order = np.argsort(g)
-            g = g[order]
-            heads = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            return g[heads], np.add.reduceat(c[order], heads)
-
         for batch in batches:
             for part in pieces(batch, "t", PIECE):
                 buf, off = text_buffer(part.column("t"))
@@ -204,11 +199,11 @@ def _count_grams(buckets: int):
                 u = _runs(g[out])[0]
                 held.append((u, np.zeros(len(u), np.int64)))
                 if sum(len(x) for x, _ in held) > HELD:
-                    held[:] = [merged()]
+                    held[:] = [_added(held)]
                     if len(held[0][0]) > HELD // 2:
                         yield _packed(*held.pop(), buckets)
         if held:
-            yield _packed(*merged(), buckets)
+            yield _packed(*_added(held), buckets)
 
     return run
 
@@ -223,12 +218,26 @@ def _packed(g: np.ndarray, c: np.ndarray, buckets: int) -> pa.RecordBatch:
 
 
 def _add_grams(rows: pa.Table) -> pa.Table:
-    g, c = unpacked(rows.column("g").to_pylist(), np.uint64), unpacked(rows.column("c").to_pylist(), np.uint32)
+    """Of a bucket, each distinct gram once. Its rows are taken one by one and added up whenever they would take half of what is held, as
+    a frequent pair's grams come from every task."""
+    held, last = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+    for x, y in zip(rows.column("g"), rows.column("c"), strict=True):
+        held.append((unpacked([x.as_buffer()], np.uint64), unpacked([y.as_buffer()], np.uint32)))
+        if sum(len(g) for g, _ in held) - last > max(ADDED, last):
+            held[:] = [_added(held)]
+            last = len(held[0][0])
+    g, total = _added(held)
+    release()
+    return pa.table({"bucket": [rows.column("bucket")[0].as_py()], "g": [packed(g)], "c": [packed(total)]})
+
+
+def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, in order, and the sums of their counts."""
+    g, c = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
     order = np.argsort(g)
     g = g[order]
-    heads = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-    total = np.add.reduceat(c[order].astype(np.int64), heads)
-    return pa.table({"bucket": [rows.column("bucket")[0].as_py()], "g": [packed(g[heads])], "c": [packed(total)]})
+    heads = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+    return g[heads], np.add.reduceat(c[order], heads, dtype=np.int64)
 
 
 def _low_counts(batches):
@@ -257,7 +266,7 @@ def _after(g: np.ndarray, c: np.ndarray, order: int):
     decision together."""
     key = (_context(g, order) << np.uint64(8)) | (g & np.uint64(255))
     o = np.argsort(key)
-    key, c = key[o], c[o]
+    key, c, o = key[o], c[o], o.astype(np.int32)
     upto = np.r_[0, np.cumsum(c)]
     for b in range(8):
         group = key >> np.uint64(8 - b)
@@ -270,9 +279,38 @@ def _after(g: np.ndarray, c: np.ndarray, order: int):
         yield n0, n1
 
 
-def _inputs(g: np.ndarray, c: np.ndarray, low: list[np.ndarray], own: int):
-    """For each of the eight decisions: log odds, levels (orders x grams), and how it went; from all counts, less own occurrences."""
-    sorts = {k: _after(g, c, k) for k in range(2, ORDERS)}
+def _pairs(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each gram's context of two bytes, and zeros and ones by that number and decision."""
+    used, own = np.unique(_context(g, 2).astype(np.uint16), return_inverse=True)
+    own = own.astype(np.int32) << 8
+    table = np.zeros((2, len(used) << 8))
+    for b in range(8):
+        node, bit = _decision(g, b)
+        at = own + node.astype(np.int32)
+        ones = np.bincount(at, c * bit, table.shape[1])
+        table += np.bincount(at, c, table.shape[1]) - ones, ones
+    return own, table
+
+
+def _slices(g: np.ndarray, c: np.ndarray, low: list[np.ndarray], own: int):
+    """Places of about PART grams, all of each context of three bytes or none, and their _inputs, which the other grams do not change."""
+    pair, table = _pairs(g, c)
+    order = np.argsort(_context(g, 3).astype(np.uint32))
+    three = _context(g[order], 3)
+    heads = np.r_[np.flatnonzero(np.r_[True, three[1:] != three[:-1]]), len(g)] if len(g) else np.zeros(1, np.int64)
+    i = 0
+    while i < len(heads) - 1:
+        j = max(i + 1, int(np.searchsorted(heads, heads[i] + PART, "right")) - 1)
+        at = order[heads[i] : heads[j]]
+        yield at, _inputs(g[at], c[at], low, own, (pair[at], table))
+        i = j
+
+
+def _inputs(g: np.ndarray, c: np.ndarray, low: list[np.ndarray], own: int, pairs: tuple[np.ndarray, np.ndarray] | None = None):
+    """For each of the eight decisions: log odds, levels (orders x grams), and how it went; from all counts, less own occurrences.
+    pairs: what _pairs gives, where grams after the same two bytes are left out."""
+    pair, table = pairs or _pairs(g, c)
+    sorts = {k: _after(g, c, k) for k in range(3, ORDERS)}
     for b in range(8):
         node, bit = _decision(g, b)
         st, levels = np.zeros((ORDERS, len(g)), np.float32), np.zeros((ORDERS, len(g)), np.uint8)
@@ -280,6 +318,9 @@ def _inputs(g: np.ndarray, c: np.ndarray, low: list[np.ndarray], own: int):
             if k < 2:
                 at = ((_context(g, k) << np.uint64(8)) | node).astype(np.int64)
                 n0, n1 = low[k][0][at], low[k][1][at]
+            elif k == 2:
+                at = pair + node.astype(np.int32)
+                n0, n1 = table[0][at], table[1][at]
             else:
                 n0, n1 = next(sorts[k])
             if own:
@@ -292,10 +333,13 @@ def _inputs(g: np.ndarray, c: np.ndarray, low: list[np.ndarray], own: int):
 def _logs(g: np.ndarray, c: np.ndarray, low: list[np.ndarray], mixer: Mixer) -> np.ndarray:
     """Logs of each gram's last byte's probability, by both models, where all that was counted in their bucket is among the grams."""
     out = np.zeros((2, len(g)))
-    for b, (st, levels, bit) in enumerate(_inputs(g, c, low, 0)):
-        gate = Mixer.gate(levels)
-        for i, p in enumerate(mixer.probabilities(mixer.odds(st, levels, gate, b), gate, b)):
-            out[i] += np.log(np.where(bit > 0, p, 1 - p))
+    for at, made in _slices(g, c, low, 0):
+        part = np.zeros((2, len(at)))
+        for b, (st, levels, bit) in enumerate(made):
+            gate = Mixer.gate(levels)
+            for i, p in enumerate(mixer.probabilities(mixer.odds(st, levels, gate, b), gate, b)):
+                part[i] += np.log(np.where(bit > 0, p, 1 - p))
+        out[:, at] = part
     return out
 
 
@@ -311,10 +355,14 @@ def _learn(low: list[np.ndarray]):
         for batch in batches:
             for g, c in _grams_of(batch):
                 g, c = _in_no_order(g, c)
-                mixer = Mixer()
-                for b, (st, levels, bit) in enumerate(_inputs(g, c, low, 1)):
-                    use = mixer.learn(st, levels, bit, c, b)
-                    w[b], used[b] = w[b] + use * mixer.w[b], used[b] + use
+                pair, table = _pairs(g, c)
+                part = mix(_context(g, 3) * MULT) % np.uint64(max(1, -(-len(g) // LEARNT)))
+                for k in np.unique(part):
+                    at, mixer = np.flatnonzero(part == k), Mixer()
+                    for b, (st, levels, bit) in enumerate(_inputs(g[at], c[at], low, 1, (pair[at], table))):
+                        use = mixer.learn(st, levels, bit, c[at], b)
+                        w[b], used[b] = w[b] + use * mixer.w[b], used[b] + use
+                release()
         yield _parts(w, used)
 
     return run
@@ -328,8 +376,9 @@ def _watched(low: list[np.ndarray], mixer: Mixer):
         for batch in batches:
             for g, c in _grams_of(batch):
                 g, c = g[c > 0], c[c > 0]
-                for b, x in enumerate(_inputs(g, c, low, 1)):
-                    seen[:, b] += mixer.watch(*x, c, b)
+                for at, made in _slices(g, c, low, 1):
+                    for b, x in enumerate(made):
+                        seen[:, b] += mixer.watch(*x, c[at], b)
         yield _parts(*seen)
 
     return run
@@ -495,8 +544,12 @@ def _scored(n: int):
         made = []
         for x in _row_pieces(buf, off):
             g, own = grams(*x)
-            u, inv = np.unique(g, return_inverse=True)
-            made.append((u, inv.astype(np.int32), own))
+            order = np.argsort(g)
+            g = g[order]
+            new = np.r_[True, g[1:] != g[:-1]]
+            inv = np.empty(len(g), np.int32)
+            inv[order] = np.cumsum(new, dtype=np.int32) - 1
+            made.append((g[new], inv, own))
         known = _runs(np.concatenate([u for u, _, _ in made]))[0]
         value = np.zeros(len(known), np.uint64)
         for b, at in _by_hash(known, n):
@@ -504,7 +557,8 @@ def _scored(n: int):
         value = value.view(np.float32).reshape(-1, 2)
         scores = []
         for u, inv, own in made:
-            logs = np.add.reduceat(value[np.searchsorted(known, u)][inv], own[:-1], axis=0, dtype=np.float64).T
+            both = value[np.searchsorted(known, u)].T.astype(np.float64)
+            logs = [np.add.reduceat(x[inv], own[:-1]) for x in both]
             scores.append((np.logaddexp(logs[0], logs[1]) - np.log(2)) / np.log(10))
         score = np.concatenate(scores)
         bits = -score / np.log10(2) / np.maximum(1, np.diff(off))
