@@ -58,3 +58,8 @@ def test_rows(spark, library):
         text = b"hello world" if ids else b""
         assert list(r["token_ids"]) == ids and r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(text).hexdigest()
+
+
+def test_a_worker_keeps_few_pieces():
+    """Workers of the pipeline share an executor's memory with what earlier stages left."""
+    assert bpe.CACHED <= 250_000 and bpe.CACHED_CHARS <= 8_000_000

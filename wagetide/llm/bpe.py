@@ -20,13 +20,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import csr, gather, pieces
+from .common import csr, gather, pieces, release
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONGEST = 512
 #: Distinct pieces, and their characters, whose tokens a worker keeps; beyond, it begins anew.
-CACHED = 400_000
-CACHED_CHARS = 16_000_000
+CACHED = 250_000
+CACHED_CHARS = 8_000_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -209,6 +209,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches):
+        release()
         bpe = codec(path, pattern)
         for batch in batches:
             for part in pieces(batch, text_col, 1 << 20):
